@@ -125,25 +125,39 @@ def block_pairs(df: DataFrame, key: list[str], row_id: str, size: int) -> DataFr
     )
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of the consecutive rows that agree on `keys`, across batch bounds; rows must come sorted by them."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (consecutive rows that agree on `keys`; rows must come sorted by them), of about `rows`
+    rows each or one larger group, with the bounds of their groups."""
     held: list[pa.RecordBatch] = []
-    last = None
+    count = 0
 
-    def keyed(batch: pa.RecordBatch) -> np.ndarray:
-        return np.rec.fromarrays([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+    def starts(table: pa.Table) -> np.ndarray:
+        ks = [table.column(k).to_numpy() for k in keys]
+        return np.r_[0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in ks])) + 1]
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        ks = keyed(batch)
-        cuts = np.flatnonzero(ks[1:] != ks[:-1]) + 1
-        bounds = [0, *cuts.tolist(), len(ks)]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if held and ks[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = ks[a]
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            table = pa.Table.from_batches(held)
+            at = starts(table)
+            last = int(at[-1])
+            a = 0
+            for b in at[1:].tolist():
+                if b - a >= rows or b == last:
+                    yield table.slice(a, b - a), np.r_[at[(at >= a) & (at < b)], b] - a
+                    a = b
+            held = table.slice(last).to_batches()
+            count = len(table) - last
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held)
+        yield table, np.r_[starts(table), len(table)]
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the consecutive rows that agree on `keys`, across batch bounds; rows must come sorted by them."""
+    for table, bounds in grouped(batches, keys, 1):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield table.slice(a, b - a)

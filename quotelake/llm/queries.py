@@ -17,6 +17,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotelake.llm.packing import pack
 
@@ -24,6 +36,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op3_minhash": op3_minhash,
     "op10_packing": op10_packing,
 }
 
