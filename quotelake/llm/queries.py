@@ -23,6 +23,12 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.substring import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotelake.llm.minhash import near_duplicates
 
@@ -37,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
     "op10_packing": op10_packing,
 }
