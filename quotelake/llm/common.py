@@ -106,22 +106,23 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def block_pairs(df: DataFrame, key: list[str], row_id: str, size: int) -> DataFrame:
-    """Deal each group of `key` into blocks of about `size` rows and pair the blocks, so that no task holds a group.
+def block_pairs(df: DataFrame, key: list[str], row_id: str, size: int, weight: str | None = None, most: int = 1) -> DataFrame:
+    """Deal each group of `key` into blocks of about `size` rows, and of about `most` of the sum of `weight`, and pair
+    the blocks, so that no task holds a group.
 
-    Adds bucket_size, left and right: the rows of a group with the same (left, right) meet, and each pair of rows of a
-    group meets in exactly one (left, right) where it counts: rows of different blocks in their pair, rows of one block
-    in (block, block). Groups of one row are left out. Groups up to `size` stay whole and are copied once.
+    Adds block, left and right: the rows of a group with the same (left, right) meet, and each pair of rows of a group
+    meets in exactly one (left, right) where it counts: rows of different blocks in their pair, rows of one block in
+    (block, block). Groups of one row are left out. Groups that fit one block stay whole and are copied once.
     """
-    counts = df.groupBy(*key).agg(F.count("*").alias("bucket_size")).where("bucket_size > 1")
-    blocks = F.ceil(F.col("bucket_size") / size).cast("int")
-    dealt = df.join(counts, key).withColumn("block", F.pmod(F.xxhash64(F.col(row_id), F.lit(7)), blocks).cast("int"))
-    others = F.sequence(F.lit(0), blocks - 1)
+    load = F.greatest(F.count("*") / size, F.sum(weight) / most) if weight else F.count("*") / size
+    counts = df.groupBy(*key).agg(F.count("*").alias("rows_of_group"), F.ceil(load).cast("int").alias("blocks"))
+    counts = counts.where("rows_of_group > 1").drop("rows_of_group")
+    dealt = df.join(counts, key).withColumn("block", F.pmod(F.xxhash64(F.col(row_id), F.lit(7)), F.col("blocks")).cast("int"))
     return (
-        dealt.withColumn("other", F.explode(F.when(F.col("bucket_size") <= size, F.array(F.lit(0))).otherwise(others)))
+        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("left", F.least("block", "other"))
         .withColumn("right", F.greatest("block", "other"))
-        .drop("other")
+        .drop("other", "blocks")
     )
 
 

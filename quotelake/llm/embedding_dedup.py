@@ -225,7 +225,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD) -> Data
     leaders = coded.join(classes, ["label", "vector"]).where("vec_id = leader").dropDuplicates(["vec_id", "label", "vector"])
     leaders = work.save(leaders.select(F.xxhash64("label").alias("group_no"), "vec_id", "copies", "vector", "code", "factor", "bands"), "leaders")
     keyed = leaders.select("group_no", "vec_id", F.posexplode("bands").alias("band_no", "band"))
-    dealt = block_pairs(keyed, ["group_no", "band_no", "band"], "vec_id", BLOCK_ROWS).drop("bucket_size")
+    dealt = block_pairs(keyed, ["group_no", "band_no", "band"], "vec_id", BLOCK_ROWS)
     ready = dealt.join(leaders, ["group_no", "vec_id"])
     links = work.save(_link(ready, threshold), "links")
     found = components(spark, links.where("n is null").select("a", "b"))

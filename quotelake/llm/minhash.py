@@ -15,6 +15,7 @@ from quotelake.llm.components import Forest, components
 PERMUTATIONS = 60
 BAND_ROWS = 5
 BLOCK_MEMBERS = 128
+PAIR_MEMBERS = 512
 BLOCK_SHINGLES = 1_500_000
 MATRIX_COLUMNS = 16_384
 SEED = 20_240
@@ -148,7 +149,7 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, block: int = BLOCK_MEMBERS) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS, block: int = BLOCK_MEMBERS, pair_block: int = PAIR_MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text).
 
     Equal sets are one class, led by its smallest doc_id. Leaders that share a band key are candidates; candidates that
@@ -168,7 +169,7 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
     classes = work.save(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("leader")), "classes")
     leaders = full.join(classes, ["h1", "h2", "n_shingles"]).where("doc_id = leader").dropDuplicates(["doc_id", "h1", "h2"])
     leaders = work.save(leaders.select("doc_id", "n_shingles", "bands"), "leaders")
-    banded = leaders.select("doc_id", F.explode("bands").alias("band"))
+    banded = leaders.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     pivots = banded.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot < top").drop("top")
     families = work.save(components(spark, banded.join(pivots, "band").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).toDF("doc_id", "family"), "families")
     sizes = leaders.join(families, "doc_id").groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
@@ -185,7 +186,7 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
         at = large.join(found, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
         open_bands = banded.join(at, "doc_id")
         split = open_bands.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        pairs = block_pairs(open_bands.join(split, "band"), ["band"], "doc_id", block).select("band", "left", "right", "doc_id", "comp")
+        pairs = block_pairs(open_bands.join(split, "band"), ["band"], "doc_id", pair_block, "n_shingles", BLOCK_SHINGLES).select("band", "left", "right", "doc_id", "comp")
         with_text = pairs.join(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id")
         more = work.save(_verify(with_text, ["band", "left", "right"], shingle_words, percent), "more")
         if not more.isEmpty():

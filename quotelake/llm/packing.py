@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +19,33 @@ from quotelake.llm.common import texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 ROWS_OUT = 20_000
+#: The pre-tokenizer's pattern as it stands in such tokenizer files; a fixed value.
+SPLIT_PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class WordIds:
-    """Ids of whitespace-separated words as little-endian uint32 bytes, by batches of words not met before.
+#: How the tokenizer file of the packing query cuts lower-cased words of LATIN characters; a fixed value.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿā-į]+|[0-9]|[^a-zß-öø-ÿā-į0-9]+")
+#: Printable ASCII and composed Latin letters, each lower-cased to one such character: no special token, nothing to
+#: normalise but case.
+LATIN = re.compile(r"(?:(?!<\|)[!-~À-ÖØ-öø-į])+")
+
+
+def byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write bytes as characters: those of printable Latin-1 as they are, others from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+class WordIds(dict):
+    """Word between ASCII white space -> its ids as little-endian uint32 bytes.
 
     The tokenizer's pre-tokenizer never joins characters across ASCII white space, and its normalizer composes nothing
-    across it, so the ids of a text are those of its words in turn. Memory is bounded: the memo forgets all when full.
+    across it, so the ids of a text are those of its words in turn. LATIN words are lower-cased, cut as the
+    pre-tokenizer cuts them (`cuts`, where the file is one that does so) and handed to the tokenizer's model part by
+    part, all other words to the whole tokenizer. Memory is bounded: full memos forget all.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -32,19 +54,42 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.memo: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.cuts = json.dumps(json.loads(Path(tokenizer_file).read_text())["pre_tokenizer"]).find(SPLIT_PATTERN) >= 0
+        self.parts: dict[str, bytes] = {}
+        self.byte_character = byte_characters()
+
+    def whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= MEMO_WORDS:
+                self.parts.clear()
+            written = part if part.isascii() else "".join(map(self.byte_character.__getitem__, part.encode()))
+            found = self.parts[part] = array("I", [x.id for x in self.model.tokenize(written)]).tobytes()
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        text = word.decode()
+        if self.cuts and LATIN.fullmatch(text):
+            ids = b"".join(map(self.part, PARTS.findall(text.lower())))
+        else:
+            ids = self.whole(word)
+        self[word] = ids
+        return ids
+
+    def of(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
 
-    def of(self, documents: list[bytes]) -> Iterator[bytes]:
-        words = [x.split() for x in documents]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = list(set().union(*words) - self.memo.keys())
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-        get = self.memo.__getitem__
-        for ws in words:
-            yield b"".join(map(get, ws))
+#: One memo for all tasks that a Python worker runs.
+_ENCODERS: dict[str, WordIds] = {}
 
 
 class Packer:
@@ -124,24 +169,24 @@ class Packer:
         return batch
 
 
-def pack(documents: DataFrame, tokenizer_file: str, *, end_id: int = 2, size: int = 4096, chunk: int = 256) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_file: str, *, end_id: int = 2, size: int = 4096) -> DataFrame:
     """One row per piece of a document's ids (its tokens, then `end_id`): see SCHEMA.
 
     Each task packs the documents it reads, one by one, and numbers its sequences from its partition, so nothing is
-    shuffled and memory holds one chunk of documents and the open windows only. Null text counts as empty (the end id
+    shuffled and memory holds one batch of documents and the open windows only. Null text counts as empty (the end id
     alone), a null doc_id is kept as null, repeated rows are packed as often as they come, other columns are ignored,
     and an empty table gives no rows. Texts of any length are cut into as many pieces as they need.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer_file)
+        if tokenizer_file not in _ENCODERS:
+            _ENCODERS[tokenizer_file] = WordIds(tokenizer_file)
+        encode = _ENCODERS[tokenizer_file]
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(size, TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for a in range(0, batch.num_rows, chunk):
-                part = batch.slice(a, chunk)
-                for doc, ids in zip(part.column(0).to_pylist(), encode.of(texts(part.column(1))), strict=True):
-                    packer.add(doc, ids + end)
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                packer.add(doc, encode.of(text) + end)
                 if len(packer.rows) >= ROWS_OUT:
                     yield packer.take()
         packer.finish()

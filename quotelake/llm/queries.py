@@ -35,6 +35,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotelake.llm.packing import pack
 
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
+    "op5_quality": op5_quality,
     "op10_packing": op10_packing,
 }
 

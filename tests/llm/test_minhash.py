@@ -45,7 +45,7 @@ def corpus(seed):
 def test_against_all_pairs(spark, k, block):
     rows = corpus(k) + [(7, None, ""), (8, "", ""), (9, " \n", ""), (10, "É a", ""), (11, "é a", ""), (None, "w1 w2", ""), (12, "w1 w2", ""), (13, "W1 w2", ""), (13, "W1 w2", "")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = near_duplicates(df, shingle_words=k, block=block).collect()
+    got = near_duplicates(df, shingle_words=k, block=block, pair_block=2 * block).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == brute(rows, k)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
     assert [(r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None] == [(1, None, True)]

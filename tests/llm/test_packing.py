@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quotelake.llm.packing import Packer, pack
+from quotelake.llm.packing import Packer, WordIds, pack
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -99,3 +99,15 @@ def test_pack_against_the_tokenizer(spark):
 
 def test_pack_of_an_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), FILE).collect() == []
+
+
+def test_word_ids_against_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    random.seed(9)
+    plain, words = Tokenizer.from_file(FILE), WordIds(FILE)
+    assert words.cuts
+    alphabet = ["a", "B", "s", "'", "'s", "'Re", "9", "0", "!", "<|endoftext|>", "<", "|", "é", "E\u0301", "ΑΣ", "İ", "ß", "\x1c", "\x7f", "\x00", "\xa0", " ", "\t", "\u2003", "日本", "the", "🙂", "ÉÇ", "ñá", "ÿŸ", "×", "÷", "Ā", "Į", "į", "ŉ", "ﬁ"]
+    for _ in range(3000):
+        text = "".join(random.choices(alphabet, k=random.randrange(12)))
+        assert words.of(text.encode()) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
