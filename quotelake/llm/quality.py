@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +17,20 @@ from quotelake.llm.common import WordHashes, texts
 
 #: Ratings are fitted on at most so many labelled rows, those with the smallest hash of their doc_id.
 SAMPLE_ROWS = 12_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+PREFIXES = (4, 5, 6, 7)
 KINDS = 64
-#: Weights of a bucket are fitted when so many sampled documents have it.
-LEAST_DOCUMENTS = 3
-ROUNDS = 120
+#: A bucket is fitted when its documents' grades differ from the others' by this likelihood ratio statistic at least: of
+#: the many buckets that say nothing about grades about one in 10,000 gets through.
+LEAST_RATIO = 18.0
+#: And only so many buckets with the largest statistics: what groups of near copies alone have in common stays out.
+BEST_BUCKETS = 500
+#: Documents are selected from this chance of the best grade on.
+LEAST_CLEAN = 0.8
+ROUNDS = 200
 STEP = 0.1
-#: On the mean loss, so per document: 0.001 * |w|**2 / 2.
-PENALTY = 0.001
+#: On the mean loss, so per document: 0.0001 * |w|**2 / 2.
+PENALTY = 0.0001
 #: A share s of words of a kind counts as this times sqrt(s).
 KIND_SCALE = 4.0
 
@@ -31,34 +39,40 @@ _HEAD = re.compile(rb"^[^0-9A-Za-z\x80-\xff]+")
 
 
 class Words(dict):
-    """word bytes -> bucket * KINDS + kind. The bucket is a hash of the lower-cased word without marks around it, the
-    kind tells case, digits and the marks that follow. Forgets all when full."""
+    """word bytes -> (buckets as int32 bytes, kind). Buckets are hashes of the lower-cased word without marks around it
+    and of its beginnings of PREFIXES characters (languages inflect at the end); the kind tells case, digits and the
+    marks that follow. Forgets all when full."""
 
     def __init__(self):
         self.hashes = WordHashes()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+    def __missing__(self, word: bytes) -> tuple[bytes, int]:
+        if len(self) >= 400_000:
             self.clear()
-        text = word.decode()
         marks = _TAIL.search(word)
         tail = marks.group() if marks else b""
-        core = _HEAD.sub(b"", word[: len(word) - len(tail)])
-        case = 0 if not core else 1 if len(text) > 2 and text.isupper() else 2 if any(c.isdigit() for c in text) else 3
+        core = _HEAD.sub(b"", word[: len(word) - len(tail)]).decode()
+        case = 0 if not core else 1 if len(core) > 1 and core.isupper() else 2 if any(c.isdigit() for c in core) else 3
         mark = 0 if tail in (b"", b".", b",") else 1 + self.hashes[tail[:3]] % 15
-        bucket = self.hashes[core.decode().lower().encode()] % BUCKETS if core else self.hashes[b"\x00" + tail[:3]] % BUCKETS
-        value = self[word] = bucket * KINDS + case * 16 + mark
+        core = core.lower()
+        keys = [core, *(f"{n} {core[:n]}" for n in PREFIXES if len(core) > n)] if core else ["\x00" + tail[:3].decode(errors="replace")]
+        value = self[word] = (np.array([self.hashes[k.encode()] % BUCKETS for k in keys], np.int32).tobytes(), case * 16 + mark)
         return value
 
 
+#: One memo for all tasks that a Python worker runs.
+_WORDS = Words()
+
+
 def features(words: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: 1 for each bucket that occurs, then the shares of kinds and of words that repeat the word
     before, behind the buckets."""
     n = len(words)
-    codes = np.fromiter(map(known.__getitem__, words), np.int64, n)
-    buckets = np.unique(codes // KINDS)
-    share = np.bincount(codes % KINDS, minlength=KINDS + 1).astype(np.float64)
-    share[KINDS] = (codes[1:] == codes[:-1]).sum()
+    counts = Counter(words)
+    found = [known[w] for w in counts]
+    buckets = np.unique(np.frombuffer(b"".join([b for b, _ in found]), np.int32))
+    share = np.bincount(np.array([k for _, k in found], np.int64), np.fromiter(counts.values(), np.float64, len(counts)), KINDS + 1)
+    share[KINDS] = sum(map(operator.eq, words[1:], words))
     kinds = np.flatnonzero(share)
     return np.r_[buckets, BUCKETS + kinds], np.r_[np.ones(len(buckets)), KIND_SCALE * np.sqrt(share[kinds] / max(n, 1))]
 
@@ -67,11 +81,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def informative(index: np.ndarray, grade_of: np.ndarray, totals: np.ndarray, size: int) -> np.ndarray:
+    """Which features tell grades apart (G test of presence by grade); kinds always stay."""
+    some = np.bincount(index, minlength=size)
+    part = some / max(totals.sum(), 1)
+    ratio = np.zeros(size)
+    for g, total in enumerate(totals):
+        have = np.bincount(index[grade_of == g], minlength=size)
+        for seen, chance in ((have, part), (total - have, 1 - part)):
+            ratio += 2 * seen * np.log(np.where(seen > 0, seen / np.maximum(total * chance, 1e-300), 1))
+    least = max(LEAST_RATIO, np.partition(ratio[:BUCKETS], -BEST_BUCKETS)[-BEST_BUCKETS])
+    return (ratio >= least) | (np.arange(size) >= BUCKETS) & (some > 0)
+
+
 class Ordinal:
     """P(grade > k) = sigmoid(x . w - thresholds[k]) with rising thresholds."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, fitted: bool = True):
+        self.weights, self.thresholds, self.fitted = weights, thresholds, fitted
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         return sigmoid(score[:, None] - self.thresholds[None, :])
@@ -81,11 +108,10 @@ class Ordinal:
         """Full-batch Adam on the mean negative log likelihood. Thresholds are a first one and logs of the steps."""
         size = BUCKETS + KINDS + 1
         if not len(grades):
-            return cls(np.zeros(size), np.zeros(n_grades - 1))
+            return cls(np.zeros(size), np.zeros(n_grades - 1), False)
         index, value = np.concatenate(rows), np.concatenate(values)
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        often = np.bincount(index, minlength=size) >= LEAST_DOCUMENTS
-        use = often[index]
+        use = informative(index, grades[row], np.bincount(grades, minlength=n_grades), size)[index]
         index, value, row = index[use], value[use], row[use]
         columns, index = np.unique(index, return_inverse=True)
         n, k = len(rows), n_grades - 1
@@ -120,14 +146,14 @@ class Ordinal:
 
 def _encoded(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        known = _WORDS
         for batch in batches:
             found = [features(t.split(), known) for t in texts(batch.column(1))]
             index = pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary())
-            value = pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), index, value], ["grade", "index", "value"])
+            shares = pa.array([x[i >= BUCKETS].tobytes() for i, x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), index, shares], ["grade", "index", "shares"])
 
-    return rows.select("grade", "text").mapInArrow(run, "grade int, index binary, value binary")
+    return rows.select("grade", "text").mapInArrow(run, "grade int, index binary, shares binary")
 
 
 def grade(quality: Column, toxic: Column) -> Column:
@@ -136,28 +162,28 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """Fits at most `sample_rows` labelled rows, the bound of what reaches the driver."""
+    """Fits at most `sample_rows` labelled rows, the bound of what reaches the driver. Copies count once."""
     rated = labels.select(F.col("doc_id").alias("rated_id"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
     rated = rated.where("grade is not null and rated_id is not null")
     sample = rated.orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(sample_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("rated_id"))
     # repeated doc_ids can't make the sample larger than stated
     got = _encoded(rows).limit(sample_rows).toArrow()
-    index = [np.frombuffer(x, np.int32) for x in got.column("index").to_pylist()]
-    value = [np.frombuffer(x, np.float32).astype(np.float64) for x in got.column("value").to_pylist()]
-    order = sorted(range(len(index)), key=lambda i: (index[i].tobytes(), value[i].tobytes(), got.column("grade")[i].as_py()))
-    return Ordinal.fit([index[i] for i in order], [value[i] for i in order], got.column("grade").to_numpy()[order].astype(np.int64), 3)
+    rows = sorted(set(zip(*(got.column(c).to_pylist() for c in ("index", "shares", "grade")), strict=True)))
+    index = [np.frombuffer(x, np.int32) for x, _, _ in rows]
+    value = [np.r_[np.ones(len(i) - len(x) // 8), np.frombuffer(x)] for i, (_, x, _) in zip(index, rows, strict=True)]
+    return Ordinal.fit(index, value, np.array([g for _, _, g in rows], np.int64), 3)
 
 
 SCORES = "expected_grade double, p_sound double, p_clean double, selected boolean"
 
 
-def classify(documents: DataFrame, labels: DataFrame, *, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, *, least: float = LEAST_CLEAN, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """documents with expected_grade (0 to 2), p_sound = P(grade >= 1), p_clean = P(grade = 2) and selected, which is
     p_clean >= `least`.
 
     The model is fitted on a bounded sample of rated documents (train) and scores all whole texts. Without any usable
-    rating all probabilities are 1/2 and every document is selected. Null text counts as empty, and an empty text has
+    rating all probabilities are null and every document is selected. Null text counts as empty, and an empty text has
     the thresholds' base chance; null doc_ids are scored; repeated rows get equal scores and an empty table gives no
     rows. Documents keep their columns; one that is named like a score column is replaced.
     """
@@ -168,14 +194,15 @@ def classify(documents: DataFrame, labels: DataFrame, *, least: float = 0.5, sam
     place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, fitted = Words(), model.value
+        known, fitted = _WORDS, model.value
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for i, text in enumerate(texts(batch.column(place))):
                 index, value = features(text.split(), known)
                 score[i] = fitted.weights[index] @ value
             tails = fitted.tails(score)
-            added = [pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= least)]
+            none = None if fitted.fitted else np.ones(len(score), bool)
+            added = [*(pa.array(x, mask=none) for x in (tails.sum(axis=1), tails[:, 0], tails[:, 1])), pa.array((tails[:, 1] >= least) | (not fitted.fitted))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*columns, *names])
 
     kept = documents.select(*columns)
