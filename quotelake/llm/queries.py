@@ -41,6 +41,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotelake.llm.packing import pack
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
     "op5_quality": op5_quality,
+    "op8_fingerprints": op8_fingerprints,
     "op10_packing": op10_packing,
 }
 
