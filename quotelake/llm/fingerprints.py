@@ -1,8 +1,8 @@
 """Document fingerprints by one-permutation MinHash with optimal densification, in DataFrame functions only.
 
 Each word shingle is hashed once; the high bits of the hash pick one of BINS bins and each bin keeps its least hash. An
-empty bin borrows the value of a bin that has one, picked by a hash of both bin numbers, so each non-empty bin is as
-likely and equal sets borrow alike. The low BITS bits of each bin are packed; their chance agreements are corrected for.
+empty bin borrows the value of a bin that has one, picked by hashes, so each non-empty bin is as likely and equal sets
+borrow alike. The low BITS bits of each bin are packed; their chance agreements are corrected for.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from quotelake.llm.common import Workspace
 BINS = 256
 BITS = 8
 SHINGLE_WORDS = 5
+PROBES = 8
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE_WORDS) -> Column:
@@ -46,26 +47,29 @@ def bin_values(hashes: Column, bins: int = BINS) -> Column:
 
 def densified(values: Column, bins: int = BINS, bits: int = BITS) -> Column:
     """The low bits of each of the bins (less half their range, to fit a byte), empty ones borrowing; an empty array
-    where all bins are empty."""
+    where all bins are empty.
+
+    An empty bin tries PROBES bins picked by hashes of its number and the attempt, and takes the first that has a value;
+    if none has, the non-empty bin whose number hashes lowest together with its own.
+    """
     shift, mask = 64 - int(math.log2(bins)), (1 << bits) - 1
+    low = lambda x: (x.bitwiseAND(F.lit(mask)) - (mask + 1) // 2).cast("tinyint")
+    place = lambda x: F.shiftright(x, shift).cast("int") + bins // 2
 
     def spread(v: Column) -> Column:
-        low = lambda x: (x.bitwiseAND(F.lit(mask)) - (mask + 1) // 2).cast("tinyint")
-        own = F.transform(v, lambda x: F.struct(F.shiftright(x, shift).cast("int").alias("bin"), low(x).alias("low")))
-
-        def filled(o: Column) -> Column:
-            present = F.map_from_entries(o)
-
-            def pick(p: Column) -> Column:
-                def one(b: Column) -> Column:
-                    lent = F.array_min(F.transform(o, lambda x: F.struct(F.hash(b, x["bin"]).alias("order"), x["low"].alias("low"))))["low"]
-                    return F.coalesce(F.element_at(p, b), lent)
+        # one array cell per bin up to the last non-empty one: gaps are filled with nulls
+        before = lambda i: F.when(i > 0, place(F.get(v, i - 1))).otherwise(F.lit(-1))
+        cells = F.flatten(F.transform(v, lambda x, i: F.concat(F.array_repeat(F.lit(None).cast("tinyint"), place(x) - before(i) - 1), F.array(low(x)))))
 
-                return F.transform(F.sequence(F.lit(-(bins // 2)), F.lit(bins // 2 - 1)), one)
+        def pick(c: Column) -> Column:
+            def one(b: Column) -> Column:
+                tries = [F.get(c, F.pmod(F.hash(b, F.lit(t)), F.lit(bins))) for t in range(PROBES)]
+                rest = F.array_min(F.transform(v, lambda x: F.struct(F.hash(b, place(x)).alias("order"), low(x).alias("low"))))["low"]
+                return F.coalesce(F.get(c, b), *tries, rest)
 
-            return F.get(F.transform(F.array(present), pick), F.lit(0))
+            return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), one)
 
-        return F.get(F.transform(F.array(own), filled), F.lit(0))
+        return F.get(F.transform(F.array(cells), pick), F.lit(0))
 
     return F.when(F.size(values) > 0, F.get(F.transform(F.array(values), spread), F.lit(0))).otherwise(F.array().cast("array<tinyint>"))
 
