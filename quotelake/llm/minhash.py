@@ -169,7 +169,7 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
     classes = work.save(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("leader")), "classes")
     leaders = full.join(classes, ["h1", "h2", "n_shingles"]).where("doc_id = leader").dropDuplicates(["doc_id", "h1", "h2"])
     leaders = work.save(leaders.select("doc_id", "n_shingles", "bands"), "leaders")
-    banded = leaders.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    banded = leaders.select("doc_id", F.explode("bands").alias("band"))
     pivots = banded.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot < top").drop("top")
     families = work.save(components(spark, banded.join(pivots, "band").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).toDF("doc_id", "family"), "families")
     sizes = leaders.join(families, "doc_id").groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
@@ -184,7 +184,7 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
     large = placed.where("chunks > 1")
     if not large.isEmpty():
         at = large.join(found, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-        open_bands = banded.join(at, "doc_id")
+        open_bands = work.save(leaders.join(at, "doc_id").select("doc_id", "comp", "n_shingles", F.explode("bands").alias("band")), "open")
         split = open_bands.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
         pairs = block_pairs(open_bands.join(split, "band"), ["band"], "doc_id", pair_block, "n_shingles", BLOCK_SHINGLES).select("band", "left", "right", "doc_id", "comp")
         with_text = pairs.join(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id")

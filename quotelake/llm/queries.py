@@ -47,6 +47,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's files arrive in order of names, in up to eight arrivals."""
+    from quotelake.llm.sharding import compacted
+
+    files = sorted(table(spark, sf_dir, "documents").inputFiles())
+    each = -(-len(files) // 8)
+    schema = table(spark, sf_dir, "documents").schema
+    arrivals = [spark.read.schema(schema).parquet(*files[i : i + each]) for i in range(0, len(files), each)]
+    return compacted(arrivals).placement("doc_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotelake.llm.packing import pack
 
@@ -59,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op5_quality": op5_quality,
     "op8_fingerprints": op8_fingerprints,
+    "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
 }
 
