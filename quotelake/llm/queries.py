@@ -41,6 +41,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotelake.llm.fingerprints import fingerprints
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
     "op5_quality": op5_quality,
+    "op7_html_text": op7_html_text,
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
