@@ -41,6 +41,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.pieces import digest
+
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        return digest(table(spark, sf_dir, "documents"), f.read())
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotelake.llm.html_text import main_text
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
     "op5_quality": op5_quality,
+    "op6_pieces": op6_pieces,
     "op7_html_text": op7_html_text,
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
