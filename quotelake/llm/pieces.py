@@ -168,7 +168,7 @@ class Pieces:
         out = []
         for row in ids:
             text = b"".join(map(self.bytes.__getitem__, row))
-            if self.model.dummy_prefix:
+            if self.model.dummy_prefix and not text.startswith(" ⁇ ".encode()):
                 text = text.removeprefix(b" ")
             out.append(text.decode(errors="replace"))
         return out
