@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -25,7 +26,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Texts are encoded in batches of about so many characters, which bounds what a worker holds.
 BATCH_CHARS = 1_000_000
 #: Distinct stretches that a worker remembers.
-MEMO_STRETCHES = 600_000
+MEMO_STRETCHES = 250_000
 #: Texts that every worker encodes with both libraries before it starts.
 PROBES = ("", " ", "  two  spaces ", "a", "Hello, World's end.", "tab\tand\nline\r\n", "▁mark", "Ünḯcode É́ 日本語 🙂\U0010ffff", "<s> </s> <unk> <0x41>", "x" * 500, "the   " * 100, "\x00\x7f\xa0　")
 
@@ -158,8 +159,8 @@ class Pieces:
         if len(self.memo) + len(new) > MEMO_STRETCHES:
             self.memo.clear()
             new = list(need)
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
+        for i in range(0, len(new), 2_000):
+            some = new[i : i + 2_000]
             found = self.stretches.encode_batch_fast(some, add_special_tokens=False)
             self.memo.update(zip(some, (np.array(e.ids, np.int32).tobytes() for e in found), strict=True))
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, p)), np.int32) for p in parts]
@@ -183,15 +184,16 @@ def differences(model: bytes, texts: list[str]) -> list[str]:
     return [t for t, w, g, d in zip(texts, want, got, own.decode(got), strict=True) if w != g or plain.decode(w) != d]
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slices(lengths: list[int | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of rows of about BATCH_CHARS characters."""
     a = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
+    for i, n in enumerate(lengths):
+        held += n or 0
         if held >= BATCH_CHARS:
             yield a, i + 1
             a, held = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+    if a < len(lengths):
+        yield a, len(lengths)
 
 
 def encode(documents: DataFrame, model: bytes) -> DataFrame:
@@ -209,9 +211,8 @@ def encode(documents: DataFrame, model: bytes) -> DataFrame:
             raise ValueError(f"encoded differently: {wrong[:3]!r}")
         coder = Pieces(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _slices(texts):
-                ids = coder.encode(texts[a:b])
+            for a, b in _slices(pc.utf8_length(batch.column("text")).to_pylist()):
+                ids = coder.encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
                 offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], ["doc_id", "pieces"])
