@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Texts are encoded in batches of about so many characters, which bounds what a worker holds.
 BATCH_CHARS = 1_000_000
-#: Distinct stretches that a worker remembers.
-MEMO_STRETCHES = 250_000
+#: A worker remembers twice as many distinct stretches at most.
+MEMO_STRETCHES = 150_000
 #: Texts that every worker encodes with both libraries before it starts.
 PROBES = ("", " ", "  two  spaces ", "a", "Hello, World's end.", "tab\tand\nline\r\n", "▁mark", "Ünḯcode É́ 日本語 🙂\U0010ffff", "<s> </s> <unk> <0x41>", "x" * 500, "the   " * 100, "\x00\x7f\xa0　")
 
@@ -143,6 +144,7 @@ class Pieces:
         self.stretches.normalizer = normalizers.Sequence([])
         self.stretches.pre_tokenizer = pre_tokenizers.Sequence([])
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes = [bytes([int(p[1:-1], 16)]) if k == BYTE else {CONTROL: "", UNKNOWN: " ⁇ "}.get(k, p.replace(MARK, " ")).encode() for p, _, k in model.pieces]
 
     def _normal(self, text: str) -> str:
@@ -154,15 +156,17 @@ class Pieces:
         if self.words is None:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [self.words.findall(self._normal(t)) for t in texts]
-        need = set().union(*parts)
-        new = [w for w in need if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_STRETCHES:
-            self.memo.clear()
-            new = list(need)
+        missing = [w for w in set().union(*parts) if w not in self.memo]
+        if len(self.memo) > MEMO_STRETCHES:
+            # stretches that come again move to the new memo, so frequent ones are never forgotten
+            self.memo, self.older = {}, self.memo
+            missing = list(set().union(*parts))
+        new = [w for w in missing if self.older.get(w) is None]
+        self.memo.update((w, found) for w in missing if (found := self.older.get(w)) is not None)
         for i in range(0, len(new), 2_000):
             some = new[i : i + 2_000]
-            found = self.stretches.encode_batch_fast(some, add_special_tokens=False)
-            self.memo.update(zip(some, (np.array(e.ids, np.int32).tobytes() for e in found), strict=True))
+            encoded = self.stretches.encode_batch_fast(some, add_special_tokens=False)
+            self.memo.update(zip(some, (np.array(e.ids, np.int32).tobytes() for e in encoded), strict=True))
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, p)), np.int32) for p in parts]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -175,6 +179,14 @@ class Pieces:
         return out
 
 
+@lru_cache(maxsize=1)
+def checked(model: bytes) -> Pieces:
+    """The worker's coder, kept from task to task; refuses where the two libraries differ on PROBES."""
+    if wrong := differences(model, list(PROBES)):
+        raise ValueError(f"encoded differently: {wrong[:3]!r}")
+    return Pieces(model)
+
+
 def differences(model: bytes, texts: list[str]) -> list[str]:
     """The texts that this pipeline and the sentencepiece library encode or decode differently."""
     import sentencepiece
@@ -207,9 +219,7 @@ def encode(documents: DataFrame, model: bytes) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if wrong := differences(shared.value, list(PROBES)):
-            raise ValueError(f"encoded differently: {wrong[:3]!r}")
-        coder = Pieces(shared.value)
+        coder = checked(shared.value)
         for batch in batches:
             for a, b in _slices(pc.utf8_length(batch.column("text")).to_pylist()):
                 ids = coder.encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
@@ -226,7 +236,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Pieces(shared.value)
+        coder = checked(shared.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
