@@ -15,11 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from quotelake.llm.common import Workspace
-
 MARK = "▁"
 # The kinds of models and pieces of SentencePiece's model format.
 UNIGRAM, BPE = 1, 2
@@ -27,7 +24,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Texts are encoded in batches of about so many characters, which bounds what a worker holds.
 BATCH_CHARS = 1_000_000
 #: A worker remembers twice as many distinct stretches at most.
-MEMO_STRETCHES = 150_000
+MEMO_STRETCHES = 200_000
 #: Texts that every worker encodes with both libraries before it starts.
 PROBES = ("", " ", "  two  spaces ", "a", "Hello, World's end.", "tab\tand\nline\r\n", "▁mark", "Ünḯcode É́ 日本語 🙂\U0010ffff", "<s> </s> <unk> <0x41>", "x" * 500, "the   " * 100, "\x00\x7f\xa0　")
 
@@ -156,13 +153,14 @@ class Pieces:
         if self.words is None:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [self.words.findall(self._normal(t)) for t in texts]
-        missing = [w for w in set().union(*parts) if w not in self.memo]
+        need = set().union(*parts)
         if len(self.memo) > MEMO_STRETCHES:
             # stretches that come again move to the new memo, so frequent ones are never forgotten
             self.memo, self.older = {}, self.memo
-            missing = list(set().union(*parts))
-        new = [w for w in missing if self.older.get(w) is None]
-        self.memo.update((w, found) for w in missing if (found := self.older.get(w)) is not None)
+        missing = need.difference(self.memo)
+        new = list(missing.difference(self.older))
+        missing.difference_update(new)
+        self.memo.update(zip(missing, map(self.older.__getitem__, missing), strict=True))
         for i in range(0, len(new), 2_000):
             some = new[i : i + 2_000]
             encoded = self.stretches.encode_batch_fast(some, add_special_tokens=False)
@@ -247,21 +245,25 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
 
 def digest(documents: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, n_pieces, n_bytes (ids of byte fallback), ids_crc32 (of the ids as little-endian 32-bit numbers) and
-    decoded_sha256 of each row of documents, encoded, stored and decoded again. Cases as in `encode`."""
+    """doc_id, n_pieces, n_bytes (ids of byte fallback), ids_crc32 (of the ids as little-endian 32-bit numbers), and
+    decoded_sha256 of what the ids decode to, for each row of documents. Cases as in `encode`."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
     first = next((i for i, (_, _, k) in enumerate(Model.parse(model).pieces) if k == BYTE), -1)
-    stored = Workspace(documents.sparkSession, "pieces").save(encode(documents, model), "encoded")
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = checked(shared.value)
         for batch in batches:
-            lists = batch.column("pieces")
-            ids, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            parts = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            crc = [zlib.crc32(p.astype("<u4").tobytes()) for p in parts]
-            fallback = [int(((p >= first) & (p < first + 256)).sum()) if first >= 0 else 0 for p in parts]
-            sha = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("text").to_pylist()]
-            columns = [pa.array([len(p) for p in parts], pa.int64()), pa.array(fallback, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_pieces", "n_bytes", "ids_crc32", "decoded_sha256"])
-
-    return decode(stored, model).mapInArrow(run, f"doc_id {kind}, n_pieces long, n_bytes long, ids_crc32 long, decoded_sha256 string")
+            out: list[tuple] = []
+            for a, b in _slices(pc.utf8_length(batch.column("text")).to_pylist()):
+                ids = coder.encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
+                texts = coder.decode([x.tolist() for x in ids])
+                for x, t in zip(ids, texts, strict=True):
+                    fallback = int(((x >= first) & (x < first + 256)).sum()) if first >= 0 else 0
+                    out.append((len(x), fallback, zlib.crc32(x.astype("<u4").tobytes()), hashlib.sha256(t.encode()).hexdigest()))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_pieces", "n_bytes", "ids_crc32", "decoded_sha256"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pieces long, n_bytes long, ids_crc32 long, decoded_sha256 string")
