@@ -35,6 +35,13 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.lm_scoring import score
+
+    with open(tokenizer_file("byte_bpe_50k.tiktoken"), "rb") as f:
+        return score(table(spark, sf_dir, "documents"), f.read())
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotelake.llm.quality import classify
 
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring": op2_substring,
     "op3_minhash": op3_minhash,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality": op5_quality,
     "op6_pieces": op6_pieces,
     "op7_html_text": op7_html_text,
