@@ -171,12 +171,13 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
     leaders = work.save(leaders.select("doc_id", "n_shingles", "bands"), "leaders")
     banded = leaders.select("doc_id", F.explode("bands").alias("band"))
     pivots = banded.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot < top").drop("top")
-    families = work.save(components(spark, banded.join(pivots, "band").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).toDF("doc_id", "family"), "families")
+    families = work.save(components(spark, banded.join(pivots.hint("merge"), "band").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).toDF("doc_id", "family"), "families")
     sizes = leaders.join(families, "doc_id").groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     chunks = F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = work.save(families.join(sizes.select("family", chunks.alias("chunks")), "family"), "placed")
-    # the text of the rows that lead their class: other rows of the same doc_id add nothing that their leader lacks
-    wanted = documents.select(F.col("doc_id").cast("long"), "text").join(placed, "doc_id")
+    # the text of the rows that lead their class: other rows of the same doc_id add nothing that their leader lacks;
+    # texts are shuffled once, by the same plan at every size, and those of families are kept
+    wanted = work.save(documents.select(F.col("doc_id").cast("long"), "text").join(placed.hint("merge"), "doc_id"), "wanted")
     own = F.array(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("chunks")).cast("int"))
     dealt = wanted.withColumn("chunk", F.explode(F.when(F.col("doc_id") == F.col("family"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)))
     links = work.save(_verify(dealt.withColumn("comp", F.col("doc_id")), ["family", "chunk"], shingle_words, percent), "links")
@@ -187,7 +188,7 @@ def near_duplicates(documents: DataFrame, *, shingle_words: int = 5, percent: in
         open_bands = work.save(leaders.join(at, "doc_id").select("doc_id", "comp", "n_shingles", F.explode("bands").alias("band")), "open")
         split = open_bands.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
         pairs = block_pairs(open_bands.join(split, "band"), ["band"], "doc_id", pair_block, "n_shingles", BLOCK_SHINGLES).select("band", "left", "right", "doc_id", "comp")
-        with_text = pairs.join(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+        with_text = pairs.join(wanted.select("doc_id", "text").hint("merge"), "doc_id")
         more = work.save(_verify(with_text, ["band", "left", "right"], shingle_words, percent), "more")
         if not more.isEmpty():
             found = components(spark, links.union(more)).toDF("doc_id", "comp")
