@@ -81,13 +81,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def counted(index: np.ndarray, size: int, step: int = 1 << 20) -> np.ndarray:
+    """How often each number below `size` comes, by parts: counting copies its input to wider numbers."""
+    return sum((np.bincount(index[a : a + step], minlength=size) for a in range(0, len(index), step)), np.zeros(size, np.int64))
+
+
 def informative(index: np.ndarray, grade_of: np.ndarray, totals: np.ndarray, size: int) -> np.ndarray:
     """Which features tell grades apart (G test of presence by grade); kinds always stay."""
-    some = np.bincount(index, minlength=size)
+    some = counted(index, size)
     part = some / max(totals.sum(), 1)
     ratio = np.zeros(size)
     for g, total in enumerate(totals):
-        have = np.bincount(index[grade_of == g], minlength=size)
+        have = counted(index[grade_of == g], size)
         for seen, chance in ((have, part), (total - have, 1 - part)):
             ratio += 2 * seen * np.log(np.where(seen > 0, seen / np.maximum(total * chance, 1e-300), 1))
     least = max(LEAST_RATIO, np.partition(ratio[:BUCKETS], -BEST_BUCKETS)[-BEST_BUCKETS])
@@ -109,12 +114,14 @@ class Ordinal:
         size = BUCKETS + KINDS + 1
         if not len(grades):
             return cls(np.zeros(size), np.zeros(n_grades - 1), False)
-        index, value = np.concatenate(rows), np.concatenate(values)
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        use = informative(index, grades[row], np.bincount(grades, minlength=n_grades), size)[index]
-        index, value, row = index[use], value[use], row[use]
+        n, index = len(rows), np.concatenate(rows)
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+        del rows
+        use = informative(index, grades.astype(np.int8)[row], np.bincount(grades, minlength=n_grades), size)[index]
+        index, value, row = index[use], np.concatenate(values)[use].astype(np.float64), row[use]
+        del values
         columns, index = np.unique(index, return_inverse=True)
-        n, k = len(rows), n_grades - 1
+        k = n_grades - 1
         share = np.array([(grades > i).sum() for i in range(k)])
         start = np.log((n - share + 0.5) / (share + 0.5))
         start = np.maximum.accumulate(start + np.arange(k) * 1e-3)
@@ -170,9 +177,12 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     # repeated doc_ids can't make the sample larger than stated
     got = _encoded(rows).limit(sample_rows).toArrow()
     rows = sorted(set(zip(*(got.column(c).to_pylist() for c in ("index", "shares", "grade")), strict=True)))
+    del got
+    grades = np.array([g for _, _, g in rows], np.int64)
+    value = [np.r_[np.ones((len(i) // 4 - len(x) // 8), np.float32), np.frombuffer(x).astype(np.float32)] for i, x, _ in rows]
     index = [np.frombuffer(x, np.int32) for x, _, _ in rows]
-    value = [np.r_[np.ones(len(i) - len(x) // 8), np.frombuffer(x)] for i, (_, x, _) in zip(index, rows, strict=True)]
-    return Ordinal.fit(index, value, np.array([g for _, _, g in rows], np.int64), 3)
+    del rows
+    return Ordinal.fit(index, value, grades, 3)
 
 
 SCORES = "expected_grade double, p_sound double, p_clean double, selected boolean"
