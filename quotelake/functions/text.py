@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 STEM = 5
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, as a lambda's variable; a column is evaluated wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Lower case without marks; letters such as ß and œ stay."""
     return F.translate(F.lower(text), MARKED, PLAIN)
@@ -40,43 +47,51 @@ def stems(text: Column, least: int = 4, stop: tuple[str, ...] = ()) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, joined by a space."""
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, runs)
 
 
 def overlap(spoken: Column, passage: Column) -> Column:
     """The share of the spoken stems that the passage has, 0 without stems."""
-    n = F.size(spoken)
-    return F.when(n > 0, F.size(F.array_intersect(spoken, passage)) / n).otherwise(F.lit(0.0))
+    return bound(spoken, lambda s: F.when(F.size(s) > 0, F.size(F.array_intersect(s, passage)) / F.size(s)).otherwise(F.lit(0.0)))
 
 
 def ordered_coverage(query: Column, words: Column) -> Column:
     """The share of query words found one after another in words; stops at the first that is missing."""
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("hit"), F.lit(True).alias("on"))
 
-    def step(s: Column, w: Column) -> Column:
+    def step(words: Column, s: Column, w: Column) -> Column:
         found = F.array_position(F.slice(words, s["at"] + 1, F.greatest(F.size(words), F.lit(1))), w).cast("int")
         go = s["on"] & (found > 0)
         return F.struct(F.when(go, s["at"] + found).otherwise(s["at"]).alias("at"), F.when(go, s["hit"] + 1).otherwise(s["hit"]).alias("hit"), go.alias("on"))
 
-    n = F.size(query)
-    return F.when(n > 0, F.aggregate(query, start, step, lambda s: s["hit"]) / n).otherwise(F.lit(0.0))
+    def share(q: Column) -> Column:
+        hit = bound(words, lambda ws: F.aggregate(q, start, lambda s, w: step(ws, s, w), lambda s: s["hit"]))
+        return F.when(F.size(q) > 0, hit / F.size(q)).otherwise(F.lit(0.0))
+
+    return bound(query, share)
 
 
 def last_words(text: Column, n: int) -> Column:
     """The last n words of a text, joined by a space."""
     w = F.filter(F.split(F.trim(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    return F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")
+    return bound(w, lambda x: F.array_join(F.slice(x, F.greatest(F.size(x) - n + 1, F.lit(1)), n), " "))
 
 
 def last_sentence(text: Column, n: int) -> Column:
     """The last words of the last sentence, with the sentence before it where it has under four words."""
     parts = F.filter(F.transform(F.split(text, r"[.!?;\n]+"), lambda s: F.trim(s)), lambda s: s != "")
-    size = F.size(parts)
-    last = F.coalesce(F.get(parts, size - 1), F.lit(""))
-    short = F.size(F.split(last, r"[\x20\x09-\x0D]+")) < 4
-    return last_words(F.when(short & (size > 1), F.concat(F.get(parts, size - 2), F.lit(" "), last)).otherwise(last), n)
+
+    def chosen(p: Column) -> Column:
+        last = F.coalesce(F.get(p, F.size(p) - 1), F.lit(""))
+        short = F.size(F.split(last, r"[\x20\x09-\x0D]+")) < 4
+        return F.when(short & (F.size(p) > 1), F.concat(F.get(p, F.size(p) - 2), F.lit(" "), last)).otherwise(last)
+
+    return last_words(bound(parts, chosen), n)
 
 
 def safe_name(name: Column, suffix: str) -> Column:
