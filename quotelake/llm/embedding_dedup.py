@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelake.llm.common import Workspace, block_pairs, grouped, mix, signed
+from quotelake.llm.common import Workspace, block_pairs, grouped
 from quotelake.llm.components import Forest, components
 
 THRESHOLD = 0.93
 CODE_BITS = 256
-BANDS = 40
-BAND_BITS = 16
-#: The bound of an estimate is this many times its standard error: a wrong dismissal is rarer than one in 10,000.
-SIGMAS = 4.0
+#: The bound of an estimate is this many times its standard error.
+SIGMAS = 6.0
 BLOCK_ROWS = 1024
 SMALL_GROUP = 24
 PAIR_SLAB = 20_000
@@ -33,23 +31,20 @@ class Rotation:
     sqrt(1 - <x, o>**2) / (<x, o> * sqrt(bits - 1)); <x, o> is the correction factor stored with the code.
     """
 
-    def __init__(self, dims: int, bits: int = CODE_BITS, bands: int = BANDS, band_bits: int = BAND_BITS):
+    def __init__(self, dims: int, bits: int = CODE_BITS):
         rng = np.random.default_rng(SEED)
         self.bits = max(bits, dims)
         self.basis = np.linalg.qr(rng.standard_normal((self.bits, dims)))[0].astype(np.float32).T
-        self.picks = np.stack([rng.permutation(self.bits)[:band_bits] for _ in range(bands)])
-        self.places = (np.uint64(1) << np.arange(band_bits, dtype=np.uint64))[None, None, :]
 
     def rotate(self, unit: np.ndarray) -> np.ndarray:
         return unit.astype(np.float32) @ self.basis
 
     def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Packed codes, correction factors, and band keys of unit vectors."""
+        """Packed codes, correction factors, and signs of unit vectors."""
         turned = self.rotate(unit)
         sign = turned > 0
         factor = np.abs(turned).sum(axis=1, dtype=np.float64) / np.sqrt(self.bits)
-        keys = (sign[:, self.picks].astype(np.uint64) * self.places).sum(axis=2, dtype=np.uint64)
-        return np.packbits(sign, axis=1), factor, keys
+        return np.packbits(sign, axis=1), factor, sign
 
     def signs(self, codes: np.ndarray) -> np.ndarray:
         return (np.unpackbits(codes, axis=1, count=self.bits).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(self.bits))
@@ -81,28 +76,27 @@ def _codes(dims_of: dict, rows: list[np.ndarray]) -> list[tuple]:
         x = np.stack([rows[i] for i in at])
         x = x / np.abs(x).max(axis=1, keepdims=True)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        codes, factor, keys = turn.encode(unit)
+        codes, factor, _ = turn.encode(unit)
         for j, i in enumerate(at):
-            out[i] = (codes[j].tobytes(), float(factor[j]), keys[j], dims)
+            out[i] = (codes[j].tobytes(), float(factor[j]))
     return out
 
 
 def encode(vectors: DataFrame, label_type: T.DataType) -> DataFrame:
-    """vec_id, label, embedding as doubles, code, factor and band keys of the vectors that can link."""
+    """vec_id, label, embedding as doubles, code and factor of the vectors that can link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dims_of: dict[int, Rotation] = {}
         for batch in batches:
             at, rows = usable(batch.column("embedding"))
             coded = _codes(dims_of, rows)
-            keys = [signed(mix(k + (np.arange(len(k), dtype=np.uint64) << np.uint64(32)) + (np.uint64(dims) << np.uint64(48)))) for _, _, k, dims in coded]
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(take), batch.column("label").take(take), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([c[0] for c in coded], pa.binary()), pa.array([c[1] for c in coded], pa.float64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["vec_id", "label", "vector", "code", "factor", "bands"],
+                [batch.column("vec_id").take(take), batch.column("label").take(take), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([c[0] for c in coded], pa.binary()), pa.array([c[1] for c in coded], pa.float64())],
+                ["vec_id", "label", "vector", "code", "factor"],
             )
 
-    schema = T.StructType().add("vec_id", "long").add("label", label_type).add("vector", "binary").add("code", "binary").add("factor", "double").add("bands", T.ArrayType(T.LongType()))
+    schema = T.StructType().add("vec_id", "long").add("label", label_type).add("vector", "binary").add("code", "binary").add("factor", "double")
     return vectors.mapInArrow(run, schema)
 
 
@@ -119,19 +113,13 @@ class Chunk:
         self.turned = turn.rotate(self.scaled / self.norm[:, None])
         self.factor = table.column("factor").to_numpy()
         self.slack = SIGMAS * turn.error(self.factor)
-        bands = table.column("bands").combine_chunks()
-        self.bands = bands.flatten().to_numpy().reshape(n, -1)
-        self.band_no = table.column("band_no").to_numpy()
         self.block = table.column("block").to_numpy()
         self.cross = table.column("left").to_numpy() != table.column("right").to_numpy()
 
     def confirm(self, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs that link and that meet here first: exact cosines, then the bands before this one."""
+        """The pairs that link, by exact cosines."""
         exact = np.einsum("nd,nd->n", self.scaled[i], self.scaled[j]) / (self.norm[i] * self.norm[j])
-        i, j = i[exact >= threshold], j[exact >= threshold]
-        same = self.bands[i] == self.bands[j]
-        first = same.argmax(axis=1) == self.band_no[i]
-        return i[first], j[first]
+        return i[exact >= threshold], j[exact >= threshold]
 
     def small(self, group: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links within small groups, all groups at once."""
@@ -164,7 +152,7 @@ class Chunk:
 
 def _link(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, n): links of a spanning forest of each group with n null, and n more links of vector a with b null."""
-    keys = ["band", "group_no", "left", "right"]
+    keys = ["group_no", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, Rotation] = {}
@@ -205,10 +193,9 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD) -> Data
 
     Vectors link when their labels are equal and not null and their cosine, in double precision, is at least
     `threshold`. Equal vectors of one label are one class, led by the smallest vec_id and counted with its copies. A
-    pair of leaders is looked at when it shares one of BANDS keys of BAND_BITS code bits (a pair at cosine 0.93 is
-    missed about once in 250, at 0.96 about once in 20,000), in the first band that it shares; the bound of its
-    estimate dismisses it or has it computed again. Large groups are dealt into pairs of blocks. Counts and the links of
-    a spanning forest are all that leaves a task.
+    pair of leaders of a label and a length is looked at once: the bound of its estimate, SIGMAS standard errors above it,
+    dismisses it or has it computed again. Groups are dealt into pairs of blocks, so the work grows with the square of a
+    label's distinct vectors. Counts and the links of a spanning forest are all that leaves a task.
 
     Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing, as do rows with a null
     label; vectors of different lengths never link. A null vec_id links with nothing, has a null component and is kept.
@@ -223,10 +210,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD) -> Data
     classes = work.save(coded.groupBy("label", "vector").agg(F.min("vec_id").alias("leader"), F.count("*").alias("copies")), "classes")
     # the group of an id and a label, as a number, keeps the keys of a block short
     leaders = coded.join(classes, ["label", "vector"]).where("vec_id = leader").dropDuplicates(["vec_id", "label", "vector"])
-    leaders = work.save(leaders.select(F.xxhash64("label").alias("group_no"), "vec_id", "copies", "vector", "code", "factor", "bands"), "leaders")
-    keyed = leaders.select("group_no", "vec_id", F.posexplode("bands").alias("band_no", "band"))
-    dealt = block_pairs(keyed, ["group_no", "band_no", "band"], "vec_id", BLOCK_ROWS)
-    ready = dealt.join(leaders, ["group_no", "vec_id"])
+    leaders = work.save(leaders.select(F.xxhash64("label", F.length("vector")).alias("group_no"), "vec_id", "copies", "vector", "code", "factor"), "leaders")
+    ready = block_pairs(leaders, ["group_no"], "vec_id", BLOCK_ROWS)
     links = work.save(_link(ready, threshold), "links")
     found = components(spark, links.where("n is null").select("a", "b"))
     counts = links.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))

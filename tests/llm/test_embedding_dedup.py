@@ -68,3 +68,17 @@ def test_estimates_are_unbiased_and_bounded():
     off = (turn.signs(codes) * turn.rotate(y)).sum(axis=1) / factor - (x * y).sum(axis=1)
     assert abs(off.mean()) < 0.01
     assert (np.abs(off) <= embedding_dedup.SIGMAS * turn.error(factor)).all()
+
+
+@pytest.mark.parametrize("cosine", [0.9301, 0.94])
+def test_no_pair_above_the_threshold_is_missed(spark, cosine):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = cosine * x + math.sqrt(1 - cosine**2) * y
+    rows = [(i, v.tolist(), 1, "") for i, v in enumerate(np.concatenate([x, y]))]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all((r.n_links, r.component_id) == (1, r.vec_id % 2000) for r in got) and len(got) == 4000
