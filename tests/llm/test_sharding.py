@@ -69,3 +69,12 @@ def test_empty_tables_nulls_and_repeated_rows(spark):
     odd = spark.createDataFrame([(None, None, None), (1, "", "s"), (1, "", "s"), (2, "x" * 200_000, "s")], SCHEMA)
     full = compacted([odd, rows(spark, 0, 0), odd])
     assert sorted(map(tuple, full.read().collect()), key=str) == sorted(map(tuple, odd.union(odd).collect()), key=str)
+
+
+def test_a_table_of_one_file_goes_through_appends_and_a_merge(spark, tmp_path):
+    from quotelake.llm.queries import op9_sharding
+
+    rows(spark, 0, 400).unionByName(rows(spark, 0, 3)).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op9_sharding(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted([*range(400), 0, 1, 2])
+    assert {r.version for r in got} == {9} and len({r.shard for r in got}) < 8
