@@ -1,9 +1,10 @@
 """Sharding by size-tiered compaction: small immutable shards, merged runs of similar size, versioned manifests.
 
-A store is a folder of shard files and manifests. A manifest is one small JSON file that names the live shards; version
-n is committed by renaming a finished temporary file to its name, which fails where that version exists already, so of
-two writers one wins and readers see a whole version or none. Shards are never changed; what no kept manifest names is
-removed by `vacuum`.
+A store is a folder of shard files and manifests. A manifest is one small JSON file that says what a version adds to the
+one before and what it takes away; every FULL_EVERY-th names all live shards, so a commit writes about as much as it
+changes. Version n is committed by renaming a finished temporary file to its name, which fails where that version exists
+already, so of two writers one wins and readers see a whole version or none. Shards are never changed; those that
+versions have let go are removed by `vacuum`.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import contextlib
 import json
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,10 @@ TARGET_BYTES = 64 << 20
 TIER_STEP = 4
 #: So many shards of one tier make a run that is merged.
 RUN_SHARDS = 4
+#: Versions of this multiple have a manifest of all shards, those between of their changes.
+FULL_EVERY = 16
+#: Shards that no manifest ever named are another writer's unfinished work until they are so old.
+GRACE_SECONDS = 24 * 3600
 
 
 @dataclass(frozen=True)
@@ -55,30 +60,58 @@ class ShardStore:
         return list(self.files.listStatus(path)) if self.files.exists(path) else []
 
     def tier(self, size: int) -> int:
-        """0 for shards of at least the target size, 1 for those up to TIER_STEP times smaller, and so on."""
+        """0 for shards of more than half the target size, as no two of them fit into one; 1 for those up to TIER_STEP
+        times smaller, and so on."""
         tier = 0
-        while size < self.target // TIER_STEP**tier and tier < 12:
+        while size <= self.target // 2 // TIER_STEP**tier and tier < 12:
             tier += 1
         return tier
 
+    def _versions(self) -> list[int]:
+        found = [s.getPath().getName() for s in self._list("manifests")]
+        return sorted(int(x[1:-5]) for x in found if x.startswith("v") and x.endswith(".json"))
+
     def version(self) -> int:
         """The latest committed version, 0 for none."""
-        found = [s.getPath().getName() for s in self._list("manifests")]
-        return max((int(x[1:-5]) for x in found if x.startswith("v") and x.endswith(".json")), default=0)
+        return max(self._versions(), default=0)
 
-    def shards(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
-        if not version:
-            return []
+    def _manifest(self, version: int) -> dict:
         stream = self.files.open(self._path(f"manifests/v{version:010d}.json"))
         try:
-            return [Shard(**s) for s in json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["shards"]]
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def commit(self, version: int, shards: list[Shard]) -> None:
-        """Makes `shards` version `version`; Conflict if there is one."""
-        text = json.dumps({"version": version, "shards": [asdict(s) for s in shards]}, indent=1)
+    def shards(self, version: int | None = None) -> list[Shard]:
+        """The shards of a version: those of the last full manifest up to it, with the changes since."""
+        version = self.version() if version is None else version
+        if not version:
+            return []
+        chain = [self._manifest(version)]
+        while not chain[-1]["full"]:
+            chain.append(self._manifest(chain[-1]["version"] - 1))
+        live: dict[str, Shard] = {}
+        for m in reversed(chain):
+            for path in m["removed"]:
+                live.pop(path, None)
+            live |= {s["path"]: Shard(**s) for s in m["added"]}
+        return list(live.values())
+
+    def current(self) -> tuple[int, list[Shard]]:
+        """The latest version with its shards, whatever other writers commit and vacuum meanwhile."""
+        while True:
+            version = self.version()
+            try:
+                return version, self.shards(version)
+            except Py4JJavaError:
+                if self.version() == version:
+                    raise
+
+    def commit(self, version: int, before: list[Shard], added: list[Shard], removed: set[str] = frozenset()) -> None:
+        """Makes `before` with the changes version `version`; Conflict if there is one."""
+        full = version == 1 or version % FULL_EVERY == 0
+        rows = [s for s in before if s.path not in removed] + added if full else added
+        text = json.dumps({"version": version, "full": full, "added": [asdict(s) for s in rows], "removed": [] if full else sorted(removed), "gone": sorted(removed)}, indent=1)
         temporary, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/v{version:010d}.json")
         out = self.files.create(temporary, True)
         out.write(bytearray(text.encode()))
@@ -101,18 +134,19 @@ class ShardStore:
         return [Shard(f"{folder}/{name}", size, arrival, self.tier(size)) for name, size in parts]
 
     def append(self, rows: DataFrame) -> int:
-        """Commits the rows of one arrival as small shards, as its tasks write them; the new version."""
+        """Commits the rows of one arrival as small shards, as its tasks write them; the new version. A writer that
+        comes second commits the same shards to the next version."""
+        new = self._write(rows.select(*self.schema.fieldNames()), 0)
         while True:
-            version = self.version() + 1
-            new = self._write(rows.select(*self.schema.fieldNames()), version)
+            version, live = self.current()
             try:
-                self.commit(version, [*self.shards(version - 1), *new])
-                return version
+                self.commit(version + 1, live, [replace(s, arrival=version + 1) for s in new])
+                return version + 1
             except Conflict:
-                self._remove(new)
+                continue
 
     def read(self, shards: list[Shard] | None = None) -> DataFrame:
-        shards = self.shards() if shards is None else shards
+        shards = self.current()[1] if shards is None else shards
         if not shards:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{s.path}" for s in shards))
@@ -136,14 +170,26 @@ class ShardStore:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
+    def bins(self, sizes: list[int]) -> int:
+        """How many shards a merge of shards of these sizes writes: readers fill a partition, largest shard first, until
+        the next would exceed the target."""
+        count = fill = 0
+        for size in sorted(sizes, reverse=True):
+            if not count or fill + size > self.target:
+                count, fill = count + 1, 0
+            fill += size
+        return count
+
     def compact(self) -> int:
-        """Merges runs of similarly sized shards into target-sized ones, one job for a run, until a round makes no tier
-        smaller; the version then."""
+        """Merges runs of similarly sized shards into target-sized ones, one job for a run, as long as that makes fewer
+        shards; the version then. Nothing is written for a run whose sizes say that it would not."""
         while True:
-            version, now = self.version() + 1, self.shards()
+            version, now = self.current()
             gone: set[str] = set()
             merged: list[Shard] = []
             for run in self.runs(now):
+                if self.bins([s.bytes for s in run]) >= len(run):
+                    continue
                 with self._packed_reads():
                     new = self._write(self.read(run), run[0].arrival)
                 if len(new) < len(run):
@@ -152,9 +198,9 @@ class ShardStore:
                 else:
                     self._remove(new)
             if not gone:
-                return version - 1
+                return version
             try:
-                self.commit(version, [s for s in now if s.path not in gone] + merged)
+                self.commit(version + 1, now, merged, gone)
             except Conflict:
                 self._remove(merged)
             else:
@@ -164,25 +210,32 @@ class ShardStore:
         for s in shards:
             self.files.delete(self._path(s.path), False)
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Removes manifests but the last `keep`, and the shards that none of these names."""
+    def vacuum(self, keep: int = 1, grace_seconds: int = GRACE_SECONDS) -> None:
+        """Removes the manifests that the last `keep` versions don't need, the shards that versions before these had and
+        they have not, and shards that no version ever had once they are `grace_seconds` older than the last commit: a
+        writer may still commit younger ones."""
         latest = self.version()
-        kept = {s.path for v in range(max(1, latest - keep + 1), latest + 1) for s in self.shards(v)}
-        for v in range(1, latest - keep + 1):
-            self.files.delete(self._path(f"manifests/v{v:010d}.json"), False)
-        for folder in self._list("shards"):
-            name = folder.getPath().getName()
-            for part in self._list(f"shards/{name}"):
-                if f"shards/{name}/{part.getPath().getName()}" not in kept and part.getPath().getName().startswith("part-"):
-                    self.files.delete(part.getPath(), False)
-            if not any(p.startswith(f"shards/{name}/") for p in kept):
-                self.files.delete(folder.getPath(), True)
+        oldest = max(1, latest - keep + 1)
+        kept = {s.path for v in range(oldest, latest + 1) for s in self.shards(v)}
+        manifests = [self._manifest(v) for v in self._versions() if v <= latest]
+        base = max((m["version"] for m in manifests if m["full"] and m["version"] <= oldest), default=1)
+        for path in {p for m in manifests for p in m["gone"]} - kept:
+            self.files.delete(self._path(path), False)
+        for m in manifests:
+            if m["version"] < base:
+                self.files.delete(self._path(f"manifests/v{m['version']:010d}.json"), False)
+        if latest:
+            committed = self.files.getFileStatus(self._path(f"manifests/v{latest:010d}.json")).getModificationTime()
+            for folder in self._list("shards"):
+                name = folder.getPath().getName()
+                live = any(p.startswith(f"shards/{name}/") for p in kept)
+                if not live and folder.getModificationTime() < committed - 1000 * grace_seconds:
+                    self.files.delete(folder.getPath(), True)
 
     def placement(self, *columns: str) -> DataFrame:
         """The given columns of every row of the latest version with shard (its path in the store), shard_bytes, tier,
         arrival and version."""
-        version = self.version()
-        shards = self.shards(version)
+        version, shards = self.current()
         table = self.spark.createDataFrame([(s.path, s.bytes, s.tier, s.arrival) for s in shards], "shard string, shard_bytes long, tier int, arrival long")
         path = F.regexp_extract(F.col("_metadata.file_path"), r"(shards/[^/]+/[^/]+)$", 1) if shards else F.lit(None).cast("string")
         rows = self.read(shards).select(*columns, path.alias("shard")).join(table, "shard")
