@@ -49,9 +49,6 @@ class WordIds(dict):
     """
 
     def __init__(self, tokenizer_file: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -95,7 +92,8 @@ _ENCODERS: dict[str, WordIds] = {}
 class Packer:
     """Windows of `size` ids. Full pieces fill windows of their own; each rest goes to the fill level that makes the sum
     of squared counts of partially filled windows smallest (a tie: the fullest result), tracked in an array of levels.
-    At the end the open windows are cut into one another, and what is left over into power-of-two windows: no padding."""
+    At the end the fullest open windows keep their pieces and are filled up with cut pieces of the emptiest, as few as
+    their gaps need; what these have left over goes into power-of-two windows: no padding."""
 
     def __init__(self, size: int, first_sequence: int):
         self.size, self.next = size, first_sequence
@@ -142,23 +140,31 @@ class Packer:
             self.levels[at + n] += 1
 
     def finish(self) -> None:
-        fill = [w for at in sorted(self.open, reverse=True) for w in self.open[at]]
-        left = sum(len(p[2]) for w in fill for p in w) // 4
-        pieces = (p for w in fill for p in w)
-        doc = start = total = None
-        ids = b""
+        fill = [(at, w) for at in sorted(self.open, reverse=True) for w in self.open[at]]
+        # as many windows as all their ids fill
+        kept, left = divmod(sum(at for at, _ in fill), self.size)
+        pieces = iter([p for _, w in reversed(fill[kept:]) for p in w])
+        held: tuple = (None, 0, b"", 0)
+
+        def take(want: int) -> list[tuple]:
+            nonlocal held
+            out = []
+            while want:
+                if not held[2]:
+                    held = next(pieces)
+                doc, start, ids, total = held
+                part = ids[: 4 * want]
+                out.append((doc, start, part, total))
+                held = (doc, start + len(part) // 4, ids[len(part) :], total)
+                want -= len(part) // 4
+            return out
+
+        for at, window in fill[:kept]:
+            self.close(window + take(self.size - at))
         while left:
             want = min(self.size, 1 << (left.bit_length() - 1))
             left -= want
-            window = []
-            while want:
-                if not ids:
-                    doc, start, ids, total = next(pieces)
-                part, ids = ids[: 4 * want], ids[4 * want :]
-                window.append((doc, start, part, total))
-                start += len(part) // 4
-                want -= len(part) // 4
-            self.close(window)
+            self.close(take(want))
         self.open.clear()
         self.levels[:] = 0
 

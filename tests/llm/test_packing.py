@@ -97,6 +97,27 @@ def test_pack_against_the_tokenizer(spark):
         assert at == len(ids)
 
 
+def test_only_the_emptiest_windows_are_cut_at_the_end():
+    rng = random.Random(4)
+    for _ in range(30):
+        packer = Packer(64, 0)
+        for doc in range(rng.randrange(1, 60)):
+            packer.add(doc, bytes(4 * rng.randrange(1, 50)))
+        placed = [(at, [(p[0], p[1]) for p in w]) for at, ws in packer.open.items() for w in ws]
+        closed = len({r[5] for r in packer.rows})
+        packer.finish()
+        windows = {}
+        for doc, start, n, _, _, seq, offset in packer.rows:
+            assert offset == sum(x[2] for x in windows.get(seq, []))
+            windows.setdefault(seq, []).append((doc, start, n))
+        sizes = [sum(x[2] for x in w) for s, w in windows.items() if s >= closed]
+        assert all(n == 64 or n & (n - 1) == 0 for n in sizes) and sum(sizes) == sum(at for at, _ in placed)
+        heads = [[(d, s) for d, s, _ in w] for q, w in windows.items() if q >= closed]
+        kept = [at for at, w in placed if any(h[: len(w)] == w for h in heads)]
+        cut = [at for at, w in placed if not any(h[: len(w)] == w for h in heads)]
+        assert sum(cut[1:]) <= sum(64 - at for at in kept) + 64
+
+
 def test_pack_of_an_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), FILE).collect() == []
 
