@@ -23,14 +23,12 @@ KINDS = 64
 #: A bucket is fitted when its documents' grades differ from the others' by this likelihood ratio statistic at least: of
 #: the many buckets that say nothing about grades about one in 10,000 gets through.
 LEAST_RATIO = 18.0
-#: And only so many buckets with the largest statistics: what groups of near copies alone have in common stays out.
-BEST_BUCKETS = 500
 #: Documents are selected from this chance of the best grade on.
 LEAST_CLEAN = 0.8
 ROUNDS = 200
 STEP = 0.1
-#: On the mean loss, so per document: 0.0001 * |w|**2 / 2.
-PENALTY = 0.0001
+#: On the mean loss, so per document: 0.001 * |w|**2 / 2. It keeps what only groups of near copies share small.
+PENALTY = 0.001
 #: A share s of words of a kind counts as this times sqrt(s).
 KIND_SCALE = 4.0
 
@@ -95,8 +93,7 @@ def informative(index: np.ndarray, grade_of: np.ndarray, totals: np.ndarray, siz
         have = counted(index[grade_of == g], size)
         for seen, chance in ((have, part), (total - have, 1 - part)):
             ratio += 2 * seen * np.log(np.where(seen > 0, seen / np.maximum(total * chance, 1e-300), 1))
-    least = max(LEAST_RATIO, np.partition(ratio[:BUCKETS], -BEST_BUCKETS)[-BEST_BUCKETS])
-    return (ratio >= least) | (np.arange(size) >= BUCKETS) & (some > 0)
+    return (ratio >= LEAST_RATIO) | (np.arange(size) >= BUCKETS) & (some > 0)
 
 
 class Ordinal:
@@ -158,9 +155,10 @@ def _encoded(rows: DataFrame) -> DataFrame:
             found = [features(t.split(), known) for t in texts(batch.column(1))]
             index = pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary())
             shares = pa.array([x[i >= BUCKETS].tobytes() for i, x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), index, shares], ["grade", "index", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), index, shares, batch.column(2)], ["grade", "index", "shares", "place"])
 
-    return rows.select("grade", "text").mapInArrow(run, "grade int, index binary, shares binary")
+    ready = rows.select("grade", "text", F.xxhash64("doc_id").alias("place"))
+    return ready.mapInArrow(run, "grade int, index binary, shares binary, place long")
 
 
 def grade(quality: Column, toxic: Column) -> Column:
@@ -168,24 +166,45 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when(quality != 0, F.when(toxic != 0, 1).when(toxic == 0, 2)).cast("int")
 
 
+def _fitted(sample: DataFrame) -> DataFrame:
+    """One row, the model fitted on the rows of a table of one partition. Copies count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            seen.update(zip(*(batch.column(c).to_pylist() for c in ("index", "shares", "grade")), strict=True))
+        rows = sorted(seen)
+        del seen
+        grades = np.array([g for _, _, g in rows], np.int64)
+        value = [np.r_[np.ones((len(i) // 4 - len(x) // 8), np.float32), np.frombuffer(x).astype(np.float32)] for i, x, _ in rows]
+        index = [np.frombuffer(x, np.int32) for x, _, _ in rows]
+        model = Ordinal.fit(index, value, grades, 3)
+        at = np.flatnonzero(model.weights)
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in (at, model.weights[at], model.thresholds)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([model.fitted])], ["at", "weights", "thresholds", "fitted"])
+
+    return sample.mapInArrow(run, "at binary, weights binary, thresholds binary, fitted boolean")
+
+
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """Fits at most `sample_rows` labelled rows, the bound of what reaches the driver. Copies count once."""
+    """Fits at most `sample_rows` labelled rows in one task; the model's weights that are not 0 reach the driver. The
+    sample is the rows with the smallest hash of their doc_id, and of their text where doc_ids repeat."""
     rated = labels.select(F.col("doc_id").alias("rated_id"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
     rated = rated.where("grade is not null and rated_id is not null")
     sample = rated.orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(sample_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("rated_id"))
     # repeated doc_ids can't make the sample larger than stated
-    got = _encoded(rows).limit(sample_rows).toArrow()
-    rows = sorted(set(zip(*(got.column(c).to_pylist() for c in ("index", "shares", "grade")), strict=True)))
-    del got
-    grades = np.array([g for _, _, g in rows], np.int64)
-    value = [np.r_[np.ones((len(i) // 4 - len(x) // 8), np.float32), np.frombuffer(x).astype(np.float32)] for i, x, _ in rows]
-    index = [np.frombuffer(x, np.int32) for x, _, _ in rows]
-    del rows
-    return Ordinal.fit(index, value, grades, 3)
+    bounded = _encoded(rows).orderBy("place", "grade", "index", "shares").limit(sample_rows).drop("place")
+    found = _fitted(bounded.coalesce(1)).first()
+    if found is None:
+        return Ordinal.fit([], [], np.empty(0, np.int64), 3)
+    weights = np.zeros(BUCKETS + KINDS + 1)
+    weights[np.frombuffer(found.at, np.int64)] = np.frombuffer(found.weights)
+    return Ordinal(weights, np.frombuffer(found.thresholds), found.fitted)
 
 
 SCORES = "expected_grade double, p_sound double, p_clean double, selected boolean"
+SCORE_NAMES = [x.split()[0] for x in SCORES.split(", ")]
 
 
 def classify(documents: DataFrame, labels: DataFrame, *, least: float = LEAST_CLEAN, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -199,7 +218,7 @@ def classify(documents: DataFrame, labels: DataFrame, *, least: float = LEAST_CL
     """
     spark = documents.sparkSession
     model = spark.sparkContext.broadcast(train(documents, labels, sample_rows))
-    names = [x.split()[0] for x in SCORES.split(", ")]
+    names = SCORE_NAMES
     columns = [c for c in documents.columns if c not in names]
     place = columns.index("text")
 
