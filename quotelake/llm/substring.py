@@ -15,6 +15,9 @@ from quotelake.llm.common import Powers, WordHashes, Workspace, rolling, signed,
 WINDOW = 50
 SHARD_WORDS = 65_536
 PROBE_WORDS = 1_000_000
+#: A window's places are split into SALTS parts where it has more than one in HEAVY_WINDOWS of all.
+HEAVY_WINDOWS = 1_000
+SALTS = 64
 DOCUMENT = ["doc_id", "seq"]
 
 
@@ -189,25 +192,35 @@ class Repeats:
         spark = documents.sparkSession
         work = Workspace(spark, "substring")
         self.rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("seq"), "text")
-        saved = work.save(_sketch(self.rows, window), "sketches")
-        self.sketches = saved.drop("anchors")
-        long_enough = saved.where(F.col("n_words") >= window).where("doc_id is not null")
-        firsts = long_enough.groupBy("sha").agg(F.min("doc_id").alias("first"))
-        led = long_enough.join(firsts, "sha")
-        self.copies = led.where("doc_id > first").select(*DOCUMENT)
+        saved = work.save(_sketch(self.rows, window), "anchored")
+        self.sketches = work.save(saved.drop("anchors"), "sketches")
+        long_enough = (F.col("n_words") >= window) & F.col("doc_id").isNotNull()
+        firsts = self.sketches.where(long_enough).groupBy("sha").agg(F.min("doc_id").alias("first"))
+        self.copies = self.sketches.where(long_enough).join(firsts, "sha").where("doc_id > first").select(*DOCUMENT)
         # anchors that two documents share, and the documents that have any
-        anchored = led.where("doc_id = first").dropDuplicates(DOCUMENT).select(*DOCUMENT, F.explode("anchors").alias("anchor"))
+        anchored = saved.where(long_enough).join(firsts, "sha").where("doc_id = first").dropDuplicates(DOCUMENT).select(*DOCUMENT, F.explode("anchors").alias("anchor"))
         shared = anchored.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
         with_shared = anchored.join(shared, "anchor").groupBy(*DOCUMENT).agg(F.collect_list("anchor").alias("anchors"))
         candidates = work.save(self.rows.join(with_shared, DOCUMENT).dropDuplicates(DOCUMENT).select(*DOCUMENT, "text", "anchors"), "candidates")
+        work.drop("anchored")
         # the smallest document that has a window owns it; its window is part of a reference shard
-        windows = _windows(candidates, window)
-        owners = windows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.min_by("start", "doc_id").alias("owner_start")).where("owner < top").drop("top")
-        hits = windows.join(owners, "hash").where("owner < doc_id or start = owner_start")
+        windows = work.save(_windows(candidates, window), "windows")
+        owners = windows.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.min_by("start", "doc_id").alias("owner_start"))
+        owners = work.save(owners.where("owner < top").drop("top"), "owners")
+        # the windows that occur in more than 1 / HEAVY_WINDOWS of all places, so at most HEAVY_WINDOWS, meet their owner in
+        # SALTS parts
+        places = owners.agg(F.sum("n")).first()[0] or 0
+        heavy = owners.where(F.col("n") * HEAVY_WINDOWS > places).select("hash", F.lit(SALTS).alias("salts"))
+        part = lambda rows, salt: rows.join(F.broadcast(heavy), "hash", "left").withColumn("salt", salt).drop("salts")
+        dealt_windows = part(windows, F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(*DOCUMENT, "start"), "salts")).otherwise(0).cast("int"))
+        dealt_owners = part(owners.drop("n"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        hits = dealt_windows.join(dealt_owners, ["hash", "salt"]).where("owner < doc_id or start = owner_start")
         hit = F.struct("owner", F.floor(F.col("owner_start") / shard_words).cast("int").alias("shard"), "start")
         by_document = hits.select(*DOCUMENT, hit.alias("hit")).groupBy(*DOCUMENT).agg(F.collect_list("hit").alias("hits"))
         joined = candidates.join(by_document, DOCUMENT).select(*DOCUMENT, "text", "hits")
         passages = work.save(_passages(joined, window), "passages")
+        work.drop("windows")
+        work.drop("owners")
         # a shard that many probes meet is copied to several tasks
         salts = passages.where("is_probe").groupBy("owner", "shard").agg(F.ceil(F.sum("n") / probe_words).cast("int").alias("salts"))
         one = F.array(F.pmod(F.xxhash64(*DOCUMENT, "start"), F.col("salts")).cast("int"))
@@ -215,6 +228,7 @@ class Repeats:
         keys = ["owner", "shard", "salt"]
         dealt = dealt.select(*keys, "is_probe", *DOCUMENT, "start", "words").repartition(*keys).sortWithinPartitions(*keys, "is_probe")
         matches = work.save(_matches(dealt, window), "matches")
+        work.drop("passages")
         self.spans = matches.groupBy(*DOCUMENT).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
         self.candidates = candidates
 
@@ -266,7 +280,7 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """documents with the columns they have; a text that loses words is its kept words joined by one space, other texts
     stay as they are, and n_chars, where there is one, follows the text."""
     gone = removals(Repeats(documents, window)).select(F.col("doc_id").alias("gone_id"), F.col("seq").alias("gone_seq"), "kept_text")
-    at = (documents["doc_id"].cast("long") == F.col("gone_id")) & (F.xxhash64(documents["text"]) == F.col("gone_seq"))
-    text = F.when(F.col("gone_id").isNotNull(), F.col("kept_text")).otherwise(documents["text"])
+    at = (documents["doc_id"].cast("long") == gone["gone_id"]) & (F.xxhash64(documents["text"]) == gone["gone_seq"])
+    text = F.when(gone["gone_id"].isNotNull(), gone["kept_text"]).otherwise(documents["text"])
     columns = [text.alias(c) if c == "text" else F.length(text).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else documents[c] for c in documents.columns]
     return documents.join(gone, at, "left").select(*columns)
