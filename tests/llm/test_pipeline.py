@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quotelake.llm.components import Forest
@@ -32,7 +33,8 @@ def folder(spark, tmp_path_factory):
         if kind == 2 and rng.random() < 0.3:
             copy = text + (" ending" if rng.random() < 0.5 else "")
             rows.append((i + 1, copy, "en", "s", len(copy)))
-    rows += [(9001, None, "en", "s", None), (9002, "", "en", "s", 0), (None, "some words without a number", "en", "s", 1), rows[0], rows[0]]
+    long = " ".join(rng.choices(vocab, k=60_000))
+    rows += [(9003, long, "en", "s", len(long)), (9001, None, "en", "s", None), (9002, "", "en", "s", 0), (None, "some words without a number", "en", "s", 1), rows[0], rows[0]]
     path = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -90,9 +92,14 @@ def test_run_against_brute_force(spark, folder):
 
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["selected", "p_clean", "kept", "component_id", "kept_id", "spans", "seq", "gone_id", "kept_text", "length", "sequence_id"]
+    docs = docs.select("*", *(F.lit("mine").alias(n) for n in names))
+    columns = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.columns == columns
+        assert docs.select(*names).distinct().collect() == [("mine",) * len(names)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= docs.count()
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).collect() == []
