@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quotelake.plans import detection, history, retrieval, sessions, texts
+from quotelake.plans import detection, history, references, retrieval, sessions, texts
 
-_MODULES = (history, texts, retrieval, detection, sessions)
+_MODULES = (history, texts, retrieval, detection, sessions, references)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
