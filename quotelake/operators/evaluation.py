@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotelake.functions.text import reference_key
+
 
 def confusion(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
     """Counts and rates of nullable expected and predicted values; a wrong value counts as false positive and as false
@@ -56,3 +58,12 @@ def planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
     joined = rows.join(verses, ["chapter", "verse"], "left").join(whole, "chapter", "left").join(others, "chapter", "left")
     inside = F.col("p").isNotNull() | F.col("w").isNotNull()
     return joined.select("id", inside.alias("in_plan"), (~inside & F.coalesce(F.col("verses") > 0, F.lit(False))).alias("contradicts"))
+
+
+def grounded(suggestions: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Suggestions (suggestion, raw in per cent) that name a candidate (reference, score) of their list, letters with and
+    without marks and everything between words alike, with a confidence that the candidate's score allows. Others go."""
+    said = suggestions.withColumn("said", reference_key(F.col("suggestion")))
+    listed = candidates.withColumn("said", reference_key(F.col("reference"))).groupBy(key, "said").agg(F.max(F.struct("score", "reference")).alias("c"))
+    raw = F.greatest(F.lit(0), F.least(F.lit(100), F.col("raw")))
+    return said.join(listed, [key, "said"]).select(key, "c.reference", raw.alias("raw"), "c.score", F.round(F.least(raw, 70 + 30 * F.col("c.score"))).cast("long").alias("confidence"))

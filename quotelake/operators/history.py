@@ -22,9 +22,12 @@ def recent(history: DataFrame, limit: int = 50, session_id: int | None = None) -
     return rows.orderBy(F.desc("detected_at"), F.desc("id")).limit(limit)
 
 
-def totals(history: DataFrame) -> DataFrame:
-    """Counts of rows, references and sessions, and rows per session (0 without sessions)."""
-    out = history.agg(F.count("*").alias("total"), F.countDistinct("reference").alias("unique_references"), F.countDistinct("session_id").alias("sessions"))
+def totals(history: DataFrame, anchor: Column, days: int) -> DataFrame:
+    """Counts of the rows and references of the last days, of the sessions that began in them, and rows per such session
+    (0 without)."""
+    sums = since(history, anchor, days).agg(F.count("*").alias("total"), F.countDistinct("reference").alias("unique_references"))
+    starts = history.groupBy("session_id").agg(F.min("detected_at").alias("detected_at"))
+    out = sums.crossJoin(F.broadcast(since(starts, anchor, days).agg(F.count("*").alias("sessions"))))
     return out.withColumn("avg_per_session", F.when(F.col("sessions") > 0, F.round(F.col("total") / F.col("sessions"), 4)).otherwise(0.0))
 
 
@@ -117,13 +120,13 @@ def transcripts(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("transcript"))
 
 
-def markdown(history: DataFrame) -> DataFrame:
-    """A report per session: a title, a line of counts, and a line per row with its time."""
-    line = F.concat(F.lit("- "), F.date_format("detected_at", "HH:mm"), F.lit(" "), "reference")
-    rows = F.sort_array(F.collect_list(F.struct("detected_at", "id", line.alias("line"))))
-    out = history.groupBy("session_id").agg(rows.alias("rows"))
-    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
-    return out.select("session_id", F.concat(F.lit("# Session "), F.col("session_id").cast("string"), F.lit("\n"), F.size("rows").cast("string"), F.lit(" passages\n"), body).alias("report"))
+def with_id(history: DataFrame, row_id: int) -> DataFrame:
+    return history.where(F.col("id") == row_id)
+
+
+def certainty(history: DataFrame, by: list[str]) -> DataFrame:
+    """The mean and the least confidence of each group."""
+    return history.groupBy(*by).agg(F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"))
 
 
 def oscillations(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -55,18 +55,21 @@ def confusions(s, d):
 
 
 def compared(s, d):
-    labels = table(s, d, "labels")
-    return E.compared(labels.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("ok")), labels.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), (F.col("toxic") == 0).alias("ok")))
+    """Rated documents before, vectors of the same numbers after."""
+    before = table(s, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("ok"))
+    return E.compared(before, table(s, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") < 5).alias("ok")))
 
 
 def catalogues(s, d):
-    known = table(s, d, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    return E.catalogue(known, table(s, d, "supplier").select(F.col("s_nationkey").alias("key")), table(s, d, "customer").where("c_custkey % 9 = 0").select(F.col("c_nationkey").alias("key")))
+    """Sizes of parts are the catalogue, nations are imported, labels of vectors installed."""
+    known = table(s, d, "part").groupBy(F.col("p_size").alias("key")).agg(F.min("p_brand").alias("name"))
+    return E.catalogue(known, table(s, d, "nation").select(F.col("n_nationkey").alias("key")), table(s, d, "embeddings").select(F.col("label").alias("key")))
 
 
 def planned(s, d):
+    """Orders are planned by their status: one line of them, or all, or none."""
     rows = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("chapter"), F.col("l_linenumber").cast("long").alias("verse"))
-    plan = table(s, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("chapter"), F.when(F.col("o_orderkey") % 3 == 1, F.lit(2)).cast("long").alias("verse"))
+    plan = table(s, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("chapter"), F.when(F.col("o_orderstatus") == "F", F.lit(2)).cast("long").alias("verse"))
     return E.planned(rows, plan)
 
 
@@ -111,11 +114,11 @@ SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 1.0 END AS pr
  CASE WHEN fp + tn > 0 THEN round(fp / (fp + tn), 6) ELSE 0.0 END AS fpr, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) ELSE 0.0 END AS f1 FROM c""",
     "latency_percentiles": """WITH g AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type)
 SELECT event_type, v[CAST(round_even((n - 1) * 0.5, 0) AS BIGINT) + 1] AS p50, v[CAST(round_even((n - 1) * 0.95, 0) AS BIGINT) + 1] AS p95, v[CAST(round_even((n - 1) * 0.99, 0) AS BIGINT) + 1] AS p99, v[n] AS largest FROM g""",
-    "run_compare": """WITH b AS (SELECT doc_id, quality = 1 AS was FROM labels WHERE doc_id % 10 <> 0), a AS (SELECT doc_id, toxic = 0 AS is_ok FROM labels WHERE doc_id % 7 <> 0)
-SELECT CASE WHEN is_ok IS NULL THEN 'disappeared' WHEN was IS NULL THEN 'new' WHEN was AND NOT is_ok THEN 'regression' WHEN NOT was AND is_ok THEN 'gain' ELSE 'unchanged' END AS kind, count(*) AS n FROM b FULL JOIN a USING (doc_id) GROUP BY 1""",
-    "catalogue_outer": """SELECT k.key, coalesce(n_name, '') AS name, k.key IN (SELECT s_nationkey FROM supplier) AS imported, k.key IN (SELECT c_nationkey FROM customer WHERE c_custkey % 9 = 0) AS installed
-FROM (SELECT n_nationkey AS key FROM nation WHERE n_nationkey % 3 <> 0 UNION SELECT s_nationkey FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_custkey % 9 = 0) k LEFT JOIN nation ON n_nationkey = k.key AND n_nationkey % 3 <> 0""",
-    "plan_membership": """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 2 END AS verse FROM orders WHERE o_orderkey % 3 <> 0)
+    "run_compare": """WITH b AS (SELECT doc_id AS id, quality = 1 AS was FROM labels), a AS (SELECT vec_id AS id, label < 5 AS is_ok FROM embeddings)
+SELECT CASE WHEN is_ok IS NULL THEN 'disappeared' WHEN was IS NULL THEN 'new' WHEN was AND NOT is_ok THEN 'regression' WHEN NOT was AND is_ok THEN 'gain' ELSE 'unchanged' END AS kind, count(*) AS n FROM b FULL JOIN a USING (id) GROUP BY 1""",
+    "catalogue_outer": """SELECT k.key, coalesce((SELECT min(p_brand) FROM part WHERE p_size = k.key), '') AS name, k.key IN (SELECT n_nationkey FROM nation) AS imported, k.key IN (SELECT label FROM embeddings) AS installed
+FROM (SELECT p_size AS key FROM part UNION SELECT n_nationkey FROM nation UNION SELECT label FROM embeddings) k""",
+    "plan_membership": """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2 END AS verse FROM orders WHERE o_orderstatus <> 'P')
 SELECT l_orderkey * 10 + l_linenumber AS id, o_orderkey IS NOT NULL AND (verse IS NULL OR verse = l_linenumber) AS in_plan, o_orderkey IS NOT NULL AND verse IS NOT NULL AND verse <> l_linenumber AS contradicts
 FROM lineitem LEFT JOIN p ON o_orderkey = l_orderkey""",
 }

@@ -24,7 +24,7 @@ def _anchor():
 QUERIES = {
     "recent_activity": lambda s, d: H.recent(_history(s, d), 50).select("id", "reference", "detected_at"),
     "recent_of_session": lambda s, d: H.recent(_history(s, d), 20, 7).select("id", "reference", "detected_at"),
-    "window_totals": lambda s, d: H.totals(H.since(_history(s, d), _anchor(), 7)),
+    "window_totals": lambda s, d: H.totals(_history(s, d), _anchor(), 29),
     "top_books": lambda s, d: H.top(_history(s, d), ["book"], 5),
     "top_references": lambda s, d: H.top(_history(s, d), ["reference"], 10),
     "daily_counts": lambda s, d: H.per_day(_history(s, d)),
@@ -41,16 +41,15 @@ QUERIES = {
     "projected_page": lambda s, d: H.projected_page(_history(s, d), 1000),
     "restored_queue": lambda s, d: H.queue(_history(s, d), 10, 30),
     "transcripts": lambda s, d: H.transcripts(table(s, d, "conversations")),
-    "markdown_reports": lambda s, d: H.markdown(_history(s, d)),
     "oscillations": lambda s, d: H.oscillations(_history(s, d), "session_id", ["detected_at", "id"], "book"),
 }
 
 ORACLE_SQL = {
     "recent_activity": f"{HIST} SELECT id, reference, detected_at FROM h ORDER BY detected_at DESC, id DESC LIMIT 50",
     "recent_of_session": f"{HIST} SELECT id, reference, detected_at FROM h WHERE session_id = 7 ORDER BY detected_at DESC, id DESC LIMIT 20",
-    "window_totals": f"""{HIST}, w AS (SELECT * FROM h WHERE detected_at >= TIMESTAMP '{ANCHOR}' - INTERVAL 7 DAY)
-SELECT count(*) AS total, count(DISTINCT reference) AS unique_references, count(DISTINCT session_id) AS sessions,
- CASE WHEN count(DISTINCT session_id) > 0 THEN round(count(*) / count(DISTINCT session_id), 4) ELSE 0.0 END AS avg_per_session FROM w""",
+    "window_totals": f"""{HIST}, w AS (SELECT count(*) AS total, count(DISTINCT reference) AS unique_references FROM h WHERE detected_at >= TIMESTAMP '{ANCHOR}' - INTERVAL 29 DAY),
+n AS (SELECT count(*) AS sessions FROM (SELECT session_id, min(detected_at) AS m FROM h GROUP BY session_id) WHERE m >= TIMESTAMP '{ANCHOR}' - INTERVAL 29 DAY)
+SELECT total, unique_references, sessions, CASE WHEN sessions > 0 THEN round(total / sessions, 4) ELSE 0.0 END AS avg_per_session FROM w, n""",
     "top_books": f"{HIST} SELECT book, count(*) AS n FROM h GROUP BY book ORDER BY n DESC, book LIMIT 5",
     "top_references": f"{HIST} SELECT reference, count(*) AS n FROM h GROUP BY reference ORDER BY n DESC, reference LIMIT 10",
     "daily_counts": f"{HIST} SELECT CAST(detected_at AS DATE) AS day, count(*) AS n FROM h GROUP BY 1",
@@ -76,8 +75,6 @@ SELECT count(*) AS n, count(*) FILTER (value >= 50) AS projected, count(DISTINCT
     "restored_queue": f"""{HIST}, p AS (SELECT * FROM h ORDER BY detected_at DESC, id DESC LIMIT 10)
 SELECT id, reference, detected_at FROM p WHERE detected_at >= (SELECT max(detected_at) FROM p) - INTERVAL 30 MINUTE""",
     "transcripts": "SELECT conv_id, coalesce(string_agg(trim(text), ' ' ORDER BY turn, trim(text)) FILTER (trim(text) <> ''), '') AS transcript FROM conversations GROUP BY conv_id",
-    "markdown_reports": f"""{HIST} SELECT session_id, '# Session ' || session_id || chr(10) || count(*) || ' passages' || chr(10)
- || string_agg('- ' || strftime(detected_at, '%H:%M') || ' ' || reference, chr(10) ORDER BY detected_at, id) AS report FROM h GROUP BY session_id""",
     "oscillations": f"""{HIST}, c AS (SELECT session_id, coalesce(CAST(lag(book) OVER (PARTITION BY session_id ORDER BY detected_at, id) <> book AS BIGINT), 0) AS changed FROM h)
 SELECT session_id, count(*) AS n, CAST(sum(changed) AS BIGINT) AS changes FROM c GROUP BY session_id""",
 }

@@ -82,8 +82,6 @@ QUERIES = {
     "version_compare": versions,
     "display_references": display_references,
     "json_payload": payloads,
-    "clock_times": lambda s, d: table(s, d, "events").select("event_id", F.date_format("ts", "HH:mm").alias("clock")),
-    "page_titles": lambda s, d: table(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p>"), 0)).cast("long").alias("paragraphs")),
 }
 
 PREVIOUS = "b AS (SELECT * FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL)"
@@ -122,6 +120,4 @@ SELECT p_partkey, CASE WHEN c = '' THEN 'session' ELSE c END || '-2024.md' AS na
     "version_compare": "SELECT p_partkey, 'v' || p_size || '.' || (p_partkey % 10) AS version, p_size > 25 OR (p_size = 25 AND p_partkey % 10 > 5) AS newer FROM part",
     "display_references": "SELECT event_id, event_type || ' ' || json_extract_string(props, '$.k') || CASE WHEN event_id % 4 = 0 THEN '' ELSE ':' || (event_id % 4) END AS reference FROM events",
     "json_payload": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "clock_times": "SELECT event_id, strftime(ts, '%H:%M') AS clock FROM events",
-    "page_titles": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs FROM pages",
 }
