@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quotelake.plans import detection, history, queue, references, retrieval, sessions, speech, texts
+from quotelake.plans import corpora, detection, history, queue, references, retrieval, sessions, speech, texts
 
-_MODULES = (history, texts, retrieval, detection, sessions, references, speech, queue)
+_MODULES = (history, texts, retrieval, detection, sessions, references, speech, queue, corpora)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
