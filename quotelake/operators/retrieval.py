@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelake.functions.text import cosine_dot, fragment, ngrams, tokens, unit
+from quotelake.functions.text import fragment, ngrams, tokens, unit
+from quotelake.operators.vectors import top_k
 
 
 def postings(documents: DataFrame) -> DataFrame:
@@ -72,33 +73,35 @@ def similar_words(words: DataFrame, vocabulary: DataFrame, least: float, best: i
     return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= best).select("word", "match", "score", "rank")
 
 
+def with_unknown(weighted: DataFrame, n_documents: DataFrame, words: DataFrame) -> DataFrame:
+    """word and weight of any words; a word that no document has weighs as if its idf were 0.6 ln(N + 1)."""
+    rows = words.join(weighted.select("word", "weight"), "word", "left").crossJoin(F.broadcast(n_documents))
+    return rows.select("word", F.coalesce("weight", F.round(1 + F.sqrt(0.6 * F.log(F.col("n") + 1)), 6)).alias("weight"))
+
+
+def _unit_rows(vectors: DataFrame, every: int, scoped: bool) -> tuple[DataFrame, DataFrame]:
+    scope = F.col("label") if scoped else F.lit(0)
+    rows = vectors.select(F.col("vec_id").alias("id"), scope.alias("scope"), unit(F.col("embedding")).alias("v"))
+    return rows, rows.where(F.col("id") % every == 0).withColumnRenamed("id", "query_id")
+
+
 def nearest(vectors: DataFrame, k: int, every: int = 100, scoped: bool = False) -> DataFrame:
-    """The k nearest vectors of each vector whose id is divisible by `every`, all or those of its label. Queries meet
-    the rows in blocks of one hundredth of their number or so; the rank is limited before rows are shuffled."""
-    unit_rows = vectors.select("vec_id", "label", unit(F.col("embedding")).alias("v"))
-    queries = unit_rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("q"))
-    pairs = unit_rows.join(queries, F.col("label") == F.col("query_label")) if scoped else unit_rows.crossJoin(queries)
-    scored = pairs.where("vec_id <> query_id").select("query_id", "vec_id", (F.col("label") == F.col("query_label")).alias("in_scope"), F.round(cosine_dot(F.col("v"), F.col("q")), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    """The k nearest vectors of each vector whose id is divisible by `every`, all or those of its label."""
+    return top_k(*_unit_rows(vectors, every, scoped), k).withColumnRenamed("id", "vec_id")
 
 
 def gap_and_lag(vectors: DataFrame, every: int = 100) -> DataFrame:
     """Of each query the best score in its label, its lead over the second there, and how far it is behind the best of
-    all. One aggregate finds all three."""
-    unit_rows = vectors.select("vec_id", "label", unit(F.col("embedding")).alias("v"))
-    queries = unit_rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("q"))
-    scored = unit_rows.crossJoin(queries).where("vec_id <> query_id").select("query_id", (F.col("label") == F.col("query_label")).alias("own"), F.round(cosine_dot(F.col("v"), F.col("q")), 6).alias("score"))
-    inside = scored.where("own")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    two = inside.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("query_id").agg(F.max("score").alias("best"), F.min(F.when(F.col("r") == 2, F.col("score"))).alias("second"))
-    top = scored.groupBy("query_id").agg(F.max("score").alias("top"))
-    return two.join(top, "query_id").select("query_id", "best", F.round(F.col("best") - F.col("second"), 5).alias("gap"), F.round(F.col("top") - F.col("best"), 5).alias("behind"))
+    all."""
+    inside, top = nearest(vectors, 2, every, scoped=True), nearest(vectors, 1, every)
+    two = inside.groupBy("query_id").agg(F.max("score").alias("best"), F.min(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
+    rows = two.join(top.select("query_id", F.col("score").alias("top")), "query_id")
+    return rows.select("query_id", "best", F.round(F.col("best") - F.col("second"), 5).alias("gap"), F.round(F.col("top") - F.col("best"), 5).alias("behind"))
 
 
 def contained(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents whose fragment holds an item's: n-gram keys propose, the text decides."""
-    folded = items.select("item_id", fragment(F.col("text")).alias("part"))
+    """Documents that have an item's words, five or more, in a row: n-gram keys propose, the text decides."""
+    spaced = lambda c: F.concat(F.lit(" "), fragment(F.col(c)), F.lit(" "))
     hits = gram_hits(items, documents, 5).where("coverage >= 1").select("item_id", "doc_id")
-    texts = documents.select("doc_id", fragment(F.col("text")).alias("whole"))
-    return hits.join(texts, "doc_id").join(folded, "item_id").where(F.col("whole").contains(F.col("part"))).select("item_id", "doc_id")
+    texts = documents.select("doc_id", spaced("text").alias("whole"))
+    return hits.join(texts, "doc_id").join(items.select("item_id", spaced("text").alias("part")), "item_id").where(F.col("whole").contains(F.col("part"))).select("item_id", "doc_id")

@@ -111,7 +111,7 @@ SELECT word, df, round(ln((n + 1) / (df + 1)), 6) AS idf, round(1 + sqrt(greates
     "quotation_detection": f"""WITH {hits_sql(5)}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coverage DESC, hits DESC, item_id) AS r FROM hits WHERE coverage >= 0.55)
 SELECT doc_id, item_id, hits, coverage, CASE WHEN coverage >= 1 THEN 'exact' ELSE 'partial' END AS method FROM b WHERE r = 1""",
     "contained_items": f"""SELECT item_id, doc_id FROM (SELECT item_id, {fragment_sql('text')} AS part FROM benchmark) JOIN (SELECT doc_id, {fragment_sql('text')} AS whole FROM documents)
-ON contains(whole, part) AND len(string_split(part, ' ')) >= 5""",
+ON contains(' ' || whole || ' ', ' ' || part || ' ') AND len(string_split(part, ' ')) >= 5""",
     "similar_words": f"""WITH {POSTS}, v AS (SELECT DISTINCT word FROM posts), t AS (SELECT DISTINCT unnest({tokens_sql('text')}) AS word FROM conversations),
 u AS (SELECT word FROM t WHERE length(word) >= 4 AND word NOT IN (SELECT word FROM v)),
 s AS (SELECT u.word, v.word AS match, round(1 - levenshtein(u.word, v.word) / greatest(length(u.word), length(v.word)), 6) AS score FROM u JOIN v ON substring(u.word, 1, 3) = substring(v.word, 1, 3))
