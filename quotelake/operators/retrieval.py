@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelake.functions.text import fragment, ngrams, tokens, unit
+from quotelake.functions.text import bound, fragment, ngrams, tokens, unit
 from quotelake.operators.vectors import top_k
 
 
@@ -44,14 +44,32 @@ def union_ranked(items: DataFrame, posts: DataFrame, k: int, most: int) -> DataF
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
 
 
+def gram_hits_of(items: DataFrame, documents: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """item_id, doc_id, n, hits, coverage: distinct n-grams of the given sizes that an item and a document share, and their
+    share of the item's. Documents are read and cut into words once; their n-grams that no item has never leave the
+    join."""
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        found = lambda w: F.array(*(F.struct(F.lit(n).alias("n"), F.array_distinct(ngrams(w, n)).alias("g")) for n in sizes))
+        return df.select(key, F.explode(bound(tokens(F.col("text")), found)).alias("x")).select(key, "x.n", F.size("x.g").alias("size"), F.explode("x.g").alias("gram"))
+
+    hits = grams(documents, "doc_id").drop("size").join(grams(items, "item_id"), ["n", "gram"]).groupBy("item_id", "doc_id", "n", "size").agg(F.count("*").alias("hits"))
+    return hits.select("item_id", "doc_id", "n", "hits", F.round(F.col("hits") / F.col("size"), 6).alias("coverage"))
+
+
 def gram_hits(items: DataFrame, documents: DataFrame, n: int) -> DataFrame:
-    """Distinct n-grams that an item and a document share, and their share of the item's. The items' keys are the small
-    side; keys of documents that no item has never leave the first join."""
-    keys = items.select("item_id", F.array_distinct(ngrams(tokens(F.col("text")), n)).alias("g"))
-    keys = keys.select("item_id", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    grams = documents.select("doc_id", F.explode(F.array_distinct(ngrams(tokens(F.col("text")), n))).alias("gram"))
-    hits = grams.join(keys, "gram").groupBy("item_id", "doc_id", "size").agg(F.count("*").alias("hits"))
-    return hits.select("item_id", "doc_id", "hits", F.round(F.col("hits") / F.col("size"), 6).alias("coverage"))
+    """The hits of one size."""
+    return gram_hits_of(items, documents, (n,)).drop("n")
+
+
+def word_overlap(pairs: DataFrame, items: DataFrame, documents: DataFrame) -> DataFrame:
+    """pairs (item_id, doc_id) with overlap, the share of the item's distinct words that the document has, and stems, how
+    many they are. Only documents of pairs are cut into words."""
+    words = lambda df, key, name: df.select(F.col(key), F.array_distinct(tokens(F.col("text"))).alias(name))
+    chosen = documents.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = pairs.join(words(items, "item_id", "a"), "item_id").join(words(chosen, "doc_id", "b"), "doc_id")
+    shared = F.size(F.array_intersect("a", "b"))
+    return rows.withColumns({"overlap": F.round(shared / F.size("a"), 6), "stems": shared.cast("long")}).drop("a", "b")
 
 
 def quotations(items: DataFrame, documents: DataFrame, n: int = 5, least: float = 0.55) -> DataFrame:

@@ -11,20 +11,14 @@ from quotelake.plans.retrieval import hits_sql
 from quotelake.plans.tables import table
 
 
-def _lists(s, d):
-    items, docs = table(s, d, "benchmark"), table(s, d, "documents")
-    return U.ranked(R.gram_hits(items, docs, 2), "coverage", 24), U.ranked(R.gram_hits(items, docs, 5), "coverage", 24)
-
-
 def fused(s, d):
-    return U.fused(*_lists(s, d))
+    hits = R.gram_hits_of(table(s, d, "benchmark"), table(s, d, "documents"), (2, 5))
+    return U.fused(U.ranked(hits, "coverage", 24, ("n",)), 2, 5)
 
 
 def decided(s, d):
     """The best candidate of each item with the rule that accepts it and its confidence; overlaps are of single words."""
-    items, docs = table(s, d, "benchmark"), table(s, d, "documents")
-    words = R.gram_hits(items, docs, 1).select("item_id", "doc_id", F.col("coverage").alias("overlap"), F.col("hits").alias("stems"))
-    best = U.best_of(fused(s, d).join(words, ["item_id", "doc_id"]))
+    best = U.best_of(R.word_overlap(fused(s, d), table(s, d, "benchmark"), table(s, d, "documents")))
     args = [F.col(c) for c in ("sem", "lex", "agreement", "overlap", "stems")]
     return best.select("item_id", "doc_id", "rrf", U.decision(*args, threshold=0.8385, least=0.34).alias("rule"), U.confidence(*args).alias("confidence"))
 
