@@ -22,7 +22,7 @@ def in_range(passages: DataFrame, first: int, last: int) -> DataFrame:
 
 def translations(passages: DataFrame) -> DataFrame:
     """For each book and verse number the text of every version, from its first chapter."""
-    first = passages.groupBy("book", "verse", "version").agg(F.min(F.struct("chapter", "text"))["text"].alias("text"))
+    first = passages.where("version is not null").groupBy("book", "verse", "version").agg(F.min(F.struct("chapter", "text"))["text"].alias("text"))
     return first.groupBy("book", "verse").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("version", "text")))).alias("texts"))
 
 

@@ -69,7 +69,7 @@ def word_overlap(pairs: DataFrame, items: DataFrame, documents: DataFrame) -> Da
     chosen = documents.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = pairs.join(words(items, "item_id", "a"), "item_id").join(words(chosen, "doc_id", "b"), "doc_id")
     shared = F.size(F.array_intersect("a", "b"))
-    return rows.withColumns({"overlap": F.round(shared / F.size("a"), 6), "stems": shared.cast("long")}).drop("a", "b")
+    return rows.withColumns({"overlap": F.when(F.size("a") > 0, F.round(shared / F.size("a"), 6)).otherwise(0.0), "stems": shared.cast("long")}).drop("a", "b")
 
 
 def quotations(items: DataFrame, documents: DataFrame, n: int = 5, least: float = 0.55) -> DataFrame:
@@ -98,8 +98,12 @@ def with_unknown(weighted: DataFrame, n_documents: DataFrame, words: DataFrame)
 
 
 def _unit_rows(vectors: DataFrame, every: int, scoped: bool) -> tuple[DataFrame, DataFrame]:
-    scope = F.col("label") if scoped else F.lit(0)
-    rows = vectors.select(F.col("vec_id").alias("id"), scope.alias("scope"), unit(F.col("embedding")).alias("v"))
+    """Rows and queries of `top_k`. Vectors that are null or hold nulls, and rows without an id, meet nothing; vectors meet
+    those of their length."""
+    whole = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    scope = F.struct((F.col("label") if scoped else F.lit(0)).alias("label"), F.size("embedding").alias("length"))
+    rows = whole.where(F.col("label").isNotNull()) if scoped else whole
+    rows = rows.select(F.col("vec_id").alias("id"), scope.alias("scope"), unit(F.col("embedding")).alias("v"))
     return rows, rows.where(F.col("id") % every == 0).withColumnRenamed("id", "query_id")
 
 

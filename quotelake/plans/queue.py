@@ -52,7 +52,9 @@ def _settings(s, d):
 
 def _csv(s, d):
     path = files.shared_folder(s, "csv")
-    files.export_csv(_history(s, d).select("id", "detected_at", "session_id", "reference", "value"), path)
+    rows = _history(s, d).select("id", "detected_at", "session_id", "reference", "value")
+    if not files.export_csv(rows, path):
+        return rows.drop("detected_at")
     return s.read.option("header", True).schema("id long, detected_at string, session_id long, reference string, value double").csv(path).drop("detected_at")
 
 

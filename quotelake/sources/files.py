@@ -59,8 +59,12 @@ def install(passages: DataFrame, path: str) -> None:
     write(counts.coalesce(1), "counts")
 
 
+#: The tables of a store of passages.
+STORE = {"passages": "book string, chapter long, verse long, text string, version string", "counts": "books long, chapters long, verses long, version string"}
+
+
 def installed(spark: SparkSession, path: str, name: str = "passages") -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+    return spark.read.schema(STORE[name]).parquet(f"{path}/{name}")
 
 
 def capture(cases: DataFrame, path: str) -> None:

@@ -110,14 +110,15 @@ def health(stream: DataFrame, *, window: int = 10, mean: float = 10, warm_up: in
 
     def step(state: dict, row: object) -> tuple[dict, list[tuple]]:
         counts, before = ([], True) if row.opens or not state else (state["counts"], state["reliable"])
-        if row.n_words <= 0:
+        if not row.n_words > 0:
             return {"counts": counts, "reliable": before}, []
         counts = [*counts, int(row.n_words)][-window:]
         average = sum(counts) / len(counts)
         reliable = len(counts) < warm_up or average >= mean
         return {"counts": counts, "reliable": reliable}, [(row.session_id, row.seq, round(average, 4), reliable, reliable != before)]
 
-    return stateful(stream, "session_id", ["seq"], step, "session_id long, seq long, mean_words double, reliable boolean, flipped boolean")
+    rows = stream.withColumns({"n_words": F.coalesce("n_words", F.lit(0)), "opens": F.coalesce("opens", F.lit(False))})
+    return stateful(rows, "session_id", ["seq"], step, "session_id long, seq long, mean_words double, reliable boolean, flipped boolean")
 
 
 def latest(stream: DataFrame, key: str, value: str) -> DataFrame:
@@ -131,7 +132,8 @@ def latest(stream: DataFrame, key: str, value: str) -> DataFrame:
             state.update((json.dumps(place),))
             yield pd.DataFrame([(k[0], newest.event_id, newest[value])], columns=[key, "event_id", value])
 
-    return stream.select(key, "ts", "event_id", value).groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long, {value} string", "state string", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(key, "ts", "event_id", value).where(F.col("ts").isNotNull() & F.col("event_id").isNotNull())
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long, {value} string", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 #: How far ahead a spoken word is looked for, and the least letters of a word that may skip.
