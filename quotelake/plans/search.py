@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quotelake.functions import text as X
 from quotelake.functions import words as W
 from quotelake.operators import decisions as D
+from quotelake.operators import encoders as N
 from quotelake.operators import passages as P
 from quotelake.operators import retrieval as R
 from quotelake.operators import typed as T
@@ -15,6 +16,7 @@ from quotelake.plans.retrieval import PASSAGES, fragment_sql
 from quotelake.plans.retrieval import ORACLE_SQL as RETRIEVAL
 from quotelake.plans.speech import confirming
 from quotelake.plans.tables import table
+from quotelake.sources.files import shared_folder
 
 
 def _mod(c, n):
@@ -91,7 +93,23 @@ def _anchored(s, d):
     return found.select("query_id", "best", ((F.col("best") >= 0.3) & (F.col("gap") >= 0.012) & (F.col("behind") <= 0.02)).alias("accepted"))
 
 
+class Vowels:
+    """An encoder that counts vowels; any model with `embed` can stand here."""
+
+    def embed(self, texts, kind):
+        return [[t.lower().count(c) for c in "aei"] for t in texts]
+
+
+def _stored_vectors(s, d):
+    """Encoded on the first call, read on the second."""
+    root = shared_folder(s, "vectors")
+    texts = table(s, d, "conversations").select((F.col("conv_id") * 1_000 + F.col("turn")).alias("id"), "text")
+    N.stored(texts, Vowels(), "all", "vowels", root)
+    return N.stored(texts, None, "all", "vowels", root).select("id", *(F.get("v", F.lit(i)).cast("long").alias(c) for i, c in enumerate("aei")))
+
+
 QUERIES = {
+    "stored_vectors": _stored_vectors,
     "hashed_search": lambda s, d: V.hashed_search(_items(s, d), _numbered(s, d), 5, 0.45).withColumnRenamed("id", "passage_id"),
     "typed_search": lambda s, d: T.search(_typed(s, d), _passages(s, d), "fr").select("query_id", "rank", "chapter", "verse", "verse_end", "score", "method"),
     "close_words": lambda s, d: T.close_words(R.postings(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text")).select("word").distinct(), R.postings(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")).select("word").distinct()),
@@ -122,6 +140,7 @@ TIERS = "l AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'erro
 CONTAINED = RETRIEVAL["contained_items"]
 
 ORACLE_SQL = {
+    "stored_vectors": "SELECT conv_id * 1000 + turn AS id, " + ", ".join(f"length(text) - length(replace(lower(text), '{c}', '')) AS {c}" for c in "aei") + " FROM conversations",
     "verse_of_chapter": f"""WITH {PASSAGES}, q AS (SELECT chapter AS quote_id, book, chapter, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 2, 8), ' ') AS t FROM p WHERE verse = 2 AND chapter IN (SELECT doc_id FROM labels)),
 r AS (SELECT quote_id, book, chapter, {WORDS.format('t')} AS w, {confirming('t')} AS s FROM q), v AS (SELECT book, chapter, verse, {WORDS.format('text')} AS w, {confirming('text')} AS s FROM p),
 h AS (SELECT quote_id, book, chapter, verse, len(list_intersect({GRAMS.format('r.w', 2, 1)}, {GRAMS.format('v.w', 2, 1)})) AS three, len(list_intersect({GRAMS.format('r.w', 1, 0)}, {GRAMS.format('v.w', 1, 0)})) AS two,
