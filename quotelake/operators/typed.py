@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ from quotelake.functions.words import TYPED_STOP
 COMMON_SHARE, LEAST_COMMON = 0.08, 400
 CLOSE, CLOSEST = 0.72, 4
 LEAST_SCORE = 0.64
+#: Under this no score matters: not even beside one that counts from LEAST_SCORE on and has to be better by 0.005.
+MATTERS = 0.63
+#: A window this near ends the search for a better one.
+NEARLY = 0.995
 
 
 @F.pandas_udf(T.DoubleType())
@@ -25,14 +30,41 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def window_ratio(query: str, size: int, words: list[str]) -> float:
-    """The best ratio of a query of `size` words with one to two words more or less of a text in a row."""
-    found = (SequenceMatcher(None, query, " ".join(words[i : i + n])).ratio() for n in range(max(1, size - 1), min(len(words), size + 2) + 1) for i in range(len(words) - n + 1))
+def _letters(text: str) -> np.ndarray:
+    """How often each character of a normal text came before each place."""
+    codes = np.frombuffer(text.encode(), np.uint8) & 127
+    ones = np.zeros((len(codes) + 1, 128), np.int16)
+    ones[np.arange(1, len(codes) + 1), codes] = 1
+    return ones[:, LETTERS].cumsum(axis=0, dtype=np.int16)
+
+
+#: The characters of normal texts.
+LETTERS = [ord(c) for c in " 0123456789abcdefghijklmnopqrstuvwxyz"]
+
+
+def window_ratio(query: str, size: int, words: list[str], least: float = 0.0) -> float:
+    """The best ratio of a query of `size` words with one word less to two words more of a text in a row; the first of
+    NEARLY or more, if there is one. No ratio is over what the letters that two texts share allow, so windows are
+    compared from the largest such bound down, until none can win; a best ratio under `least` may come out as any
+    number under it."""
+    text = " ".join(words)
+    starts = np.r_[0, np.cumsum([len(w) + 1 for w in words])[:-1]]
+    ends = starts + [len(w) for w in words]
+    spans = [(starts[: len(words) - n + 1], ends[n - 1 :]) for n in range(max(1, size - 1), min(len(words), size + 2) + 1)]
+    if not spans:
+        return 0.0
+    a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
+    seen = _letters(text)
+    shared = np.minimum(seen[b] - seen[a], _letters(query)[-1]).sum(axis=1)
+    bound = 2 * shared / (len(query) + b - a)
     best = 0.0
-    for r in found:
-        best = max(best, r)
-        if best >= 0.995:
+    compared = lambda i: SequenceMatcher(None, query, text[a[i] : b[i]]).ratio()
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] <= best or bound[i] < least:
             break
+        best = max(best, compared(i))
+        if best >= NEARLY:
+            return next(r for j in np.flatnonzero(bound >= NEARLY - 1e-9) if (r := compared(j)) >= NEARLY)
     return best
 
 
@@ -56,7 +88,8 @@ def score(query: str, text: str) -> float:
             break
         at = words.index(w, at) + 1
         hits += 1
-    return 0.5 * window_ratio(query, len(asked), words) + 0.32 * share + 0.18 * hits / len(asked)
+    rest = 0.32 * share + 0.18 * hits / len(asked)
+    return 0.5 * window_ratio(query, len(asked), words, 2 * (MATTERS - rest)) + rest
 
 
 def close_words(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -146,6 +146,21 @@ def test_typed_search_against_brute_force(spark):
     assert len(got) > 40 and {m for h in got.values() for *_, m in h} == {"manual_exact", "manual_cross_verse", "manual_approx"}
 
 
+def test_window_ratios_against_all_windows():
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("aeilmnrst0 "[:10], k=rng.randrange(1, 7))) for _ in range(12)]
+    for _ in range(400):
+        words, asked = rng.choices(vocab, k=rng.randrange(1, 14)), rng.choices(vocab, k=rng.randrange(1, 5))
+        if rng.random() < 0.5:
+            asked[0] += "x"
+        query, n = " ".join(asked), len(asked)
+        found = [SequenceMatcher(None, query, " ".join(words[i : i + k])).ratio() for k in range(max(1, n - 1), min(len(words), n + 2) + 1) for i in range(len(words) - k + 1)]
+        want = next((r for r in found if r >= 0.995), max(found, default=0.0))
+        assert typed.window_ratio(query, n, words) == want
+        least = rng.random()
+        assert typed.window_ratio(query, n, words, least) == want or want < least
+
+
 @pytest.mark.parametrize("query, text, low, high", [("lion rugisant", "comme un lion rugissant", 0.64, 0.999), ("un", "comme un", 0.98, 1), ("x y z", "a b c", 0, 0), ("a b", "", 0, 0), ("b c", "a b c", 1, 1)])
 def test_scores(query, text, low, high):
     assert low <= typed.score(query, text) <= high
