@@ -18,12 +18,15 @@ ODD_INVERSE = pow(ODD, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the setting is missing (as in tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where the setting is missing on a local master (as in
+    tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         path = "file://" + tempfile.mkdtemp(prefix="quotelake-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
