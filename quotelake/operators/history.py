@@ -126,7 +126,7 @@ def with_id(history: DataFrame, row_id: int) -> DataFrame:
 
 def certainty(history: DataFrame, by: list[str]) -> DataFrame:
     """The mean and the least confidence of each group."""
-    return history.groupBy(*by).agg(F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"))
+    return history.groupBy(*by).agg(F.round(F.avg("value"), 8).alias("mean"), F.min("value").alias("least"))
 
 
 def oscillations(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -206,7 +206,7 @@ s AS (SELECT user_id, count(*) AS detections, min(ts) AS first_at, max(ts) AS st
 SELECT user_id, CAST(sum(n_words) AS BIGINT) AS words, round(sum(took) / sum(took * 2 + 1), 6) AS real_time_factor, coalesce(any_value(detections), 0) AS detections, any_value(first_at) AS first_at, any_value(stable_at) AS stable_at,
  coalesce(any_value(oscillations), 0) AS oscillations, any_value(final_reference) AS final_reference FROM r LEFT JOIN s USING (user_id) GROUP BY user_id""",
     "segment_offsets": "SELECT user_id, event_id AS seq, CAST(sum(1 + event_id % 5) OVER w AS BIGINT) - (1 + event_id % 5) AS starts, CAST(sum(1 + event_id % 5) OVER w AS BIGINT) AS ends FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
-    "segment_confidence": f"{HIST} SELECT session_id, book, round(avg(value), 4) AS mean, min(value) AS least FROM h GROUP BY ALL",
+    "segment_confidence": f"{HIST} SELECT session_id, book, round(avg(value), 8) AS mean, min(value) AS least FROM h GROUP BY ALL",
     "stage_counts": f"WITH x AS ({RP.ORACLE_SQL['reference_parse']}) SELECT method, count(*) AS n FROM x GROUP BY method",
     "utterance_meaning": f"""WITH x AS ({RP.ORACLE_SQL['reference_parse_all']}), f AS (SELECT *, contains(reference, ':') AS verse, event_id % 2 = 0 AS final FROM x),
 g AS (SELECT *, max(position) OVER e AS last, min(position) OVER e AS first, min(CASE WHEN verse THEN position END) OVER e AS fv FROM f WINDOW e AS (PARTITION BY event_id)),
