@@ -83,6 +83,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring": op2_substring,
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
 }
 
 #: Links (x, y) in both directions -> the smallest id that each can reach.
@@ -119,4 +126,17 @@ g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to
 u AS (SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM g), m AS (SELECT shingle FROM u GROUP BY shingle HAVING count(*) > 1), t AS (SELECT u.* FROM u JOIN m USING (shingle)),
 links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))), {_REACH}
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept FROM g LEFT JOIN least_of ON x = doc_id""",
+    "op11_collocations": """WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM d),
+t AS (SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM p),
+q AS (SELECT lang, [w, lead(w, 1) OVER u, lead(w, 2) OVER u, lead(w, 3) OVER u] AS w FROM t WINDOW u AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT lang, size, w[1:size] AS g FROM q, range(1, 5) AS s(size) WHERE w[size] IS NOT NULL),
+c AS MATERIALIZED (SELECT lang, size, g, array_to_string(g, ' ') AS phrase, count(*) AS f FROM g GROUP BY lang, size, g), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE size = 1 GROUP BY lang),
+o AS MATERIALIZED (SELECT * FROM c WHERE f >= 30), k AS (SELECT *, unnest(range(1, size)) AS k FROM o),
+e AS MATERIALIZED (SELECT lang, size, phrase, f, k, array_to_string(g[1:k], ' ') AS head, array_to_string(g[k + 1:size], ' ') AS rest FROM k),
+cuts AS (SELECT e.lang, e.size, e.phrase, e.f, k, a.f AS l, b.f AS r, CAST(CAST(2000000 AS HUGEINT) * e.f // (a.f + b.f) AS BIGINT) AS score FROM e JOIN o a ON a.lang = e.lang AND a.phrase = head JOIN o b ON b.lang = e.lang AND b.phrase = rest),
+s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, array_to_string(g[1:size - 1], ' ') AS phrase, f FROM o WHERE size > 2 UNION ALL SELECT lang, array_to_string(g[2:size], ' '), f FROM o WHERE size > 2) GROUP BY lang, phrase),
+w AS (SELECT s.* FROM s LEFT JOIN h USING (lang, phrase) WHERE h.f IS NULL OR 100 * h.f < 80 * s.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase, f AS a, l, r, n, score, CAST(size AS BIGINT) AS words FROM w JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
