@@ -89,6 +89,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.llm.merkle import tampered_manifest
+
+    return tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quotelake.llm.token_counts import token_counts
 
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
+    "op12_merkle": op12_merkle,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -114,6 +121,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _REACH = """reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y), least_of AS (SELECT x, min(y) AS least FROM reach GROUP BY x)"""
 _WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+
+
+def _hashed(n_chars: str) -> str:
+    """The leaf of a row of documents, in SQL."""
+    values = (f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text"))
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
 #: SQL for the operators whose results it can express; the others' tests hold brute-force versions.
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -146,4 +161,20 @@ s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase OR
 h AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, array_to_string(g[1:size - 1], ' ') AS phrase, f FROM o WHERE size > 2 UNION ALL SELECT lang, array_to_string(g[2:size], ' '), f FROM o WHERE size > 2) GROUP BY lang, phrase),
 w AS (SELECT s.* FROM s LEFT JOIN h USING (lang, phrase) WHERE h.f IS NULL OR 100 * h.f < 80 * s.f)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase, f AS a, l, r, n, score, CAST(size AS BIGINT) AS words FROM w JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op12_merkle": f"""WITH RECURSIVE crc_steps(i, k, v) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_steps WHERE k = 8), d AS (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents, crc_table),
+chosen AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, len(s) + 1), lambda j: ascii(s[j]))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 7 = 0 AS chosen FROM d),
+leaves AS (SELECT doc_id, lang, {_hashed("n_chars")} AS leaf, CASE WHEN chosen THEN {_hashed("CAST(n_chars AS HUGEINT) + 1")} END AS tampered FROM chosen),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes(lang, level, i, h, n) AS (SELECT lang, 0, i, leaf, n FROM rows_ UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2),
+subroots AS (SELECT lang, level AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_(level, i, h, n) AS (SELECT 0, i, subroot, n FROM subroots UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM upper_ WHERE n > 1 GROUP BY level, i // 2),
+top AS (SELECT level AS height, h AS root FROM upper_ WHERE n = 1),
+steps AS (SELECT r.lang, r.i, l AS level, CASE WHEN s.h IS NULL THEN '' WHEN (r.i >> l) & 1 = 1 THEN 'L' || s.h ELSE 'R' || s.h END AS p FROM rows_ r JOIN subroots g ON g.lang IS NOT DISTINCT FROM r.lang, range(0, 64) x(l)
+ LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM r.lang AND s.level = l AND s.i = xor(r.i >> l, 1) WHERE l < g.height),
+upper_steps AS (SELECT g.lang, l + 1000 AS level, CASE WHEN s.h IS NULL THEN '' WHEN (g.i >> l) & 1 = 1 THEN 'L' || s.h ELSE 'R' || s.h END AS p FROM subroots g, top, range(0, 64) x(l) LEFT JOIN upper_ s ON s.level = l AND s.i = xor(g.i >> l, 1) WHERE l < top.height),
+paths AS (SELECT lang, i, list(p ORDER BY level) AS p FROM (SELECT * FROM steps UNION ALL SELECT r.lang, r.i, level, p FROM rows_ r JOIN upper_steps u ON u.lang IS NOT DISTINCT FROM r.lang) GROUP BY lang, i),
+found AS (SELECT doc_id, leaf, tampered, subroot, root, coalesce(p, []) AS p FROM rows_ r JOIN subroots g ON g.lang IS NOT DISTINCT FROM r.lang CROSS JOIN top LEFT JOIN paths q ON q.lang IS NOT DISTINCT FROM r.lang AND q.i = r.i),
+folded AS (SELECT *, list_reduce(list_concat([coalesce(tampered, leaf)], p), lambda x, y: sha256(CASE WHEN y = '' THEN x WHEN y[1] = 'L' THEN y[2:] || x ELSE x || y[2:] END)) AS folded_root FROM found)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(p, lambda y: y[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
 }
