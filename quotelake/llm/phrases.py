@@ -18,7 +18,9 @@ from quotelake.llm.common import Powers, WordHashes, Workspace, rolling, signed,
 PLAIN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 GAP = re.compile(rb"[ \t\n]")
 #: A long text is read in parts of about so many bytes, n-grams are combined over about so many words before they leave a task.
-PART_BYTES, CHUNK_WORDS = 1 << 20, 600_000
+PART_BYTES, CHUNK_WORDS = 1 << 20, 400_000
+#: Pairs are counted by hashes of so many bits; pairs that share one only count for more in the screen.
+HASH_BITS = 40
 #: The screen has 2 ** SCREEN_BITS bits (8 MB), whatever the corpus.
 SCREEN_BITS = 26
 #: Ranks are taken in so many parts of a language first.
@@ -72,7 +74,7 @@ class Chunk:
 
     def pairs(self, hashes: WordHashes, powers: Powers) -> np.ndarray:
         """A hash of each word and the one after it."""
-        return rolling(hashes.of(self.words), 2, powers) ^ self.seed
+        return (rolling(hashes.of(self.words), 2, powers) ^ self.seed) & np.uint64((1 << HASH_BITS) - 1)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int, part_bytes: int) -> Iterator[tuple[str, Chunk]]:
@@ -119,7 +121,7 @@ def screen_of(documents: DataFrame, least: int, part_bytes: int = PART_BYTES) ->
 
 
 def explode_ngrams(documents: DataFrame, screen: np.ndarray, max_words: int, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(lang, words, phrase, f): the n-grams of one to `max_words` words in (lang, text) rows, f of them in one row: all of
+    """(lang, phrase, f): the n-grams of one to `max_words` words in (lang, text) rows, f of them in one row: all of
     one word, and every longer one all of whose neighbouring pairs are in the screen.
 
     An n-gram comes no more often than any pair of neighbours in it, so none that reaches the screen's least count is
@@ -145,10 +147,10 @@ def explode_ngrams(documents: DataFrame, screen: np.ndarray, max_words: int, par
                 phrases, f = list(found), list(found.values())
                 for a in range(0, len(found), 50_000):
                     k = len(phrases[a : a + 50_000])
-                    columns = [pa.array([lang] * k), pa.array([n] * k, pa.int64()), pa.array(phrases[a : a + 50_000], pa.binary()).cast(pa.string()), pa.array(f[a : a + 50_000], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "f"])
+                    columns = [pa.array([lang] * k), pa.array(phrases[a : a + 50_000], pa.binary()).cast(pa.string()), pa.array(f[a : a + 50_000], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
-    return documents.mapInArrow(run, "lang string, words long, phrase string, f long")
+    return documents.mapInArrow(run, "lang string, phrase string, f long")
 
 
 def collocations(documents: DataFrame, *, max_words: int = 4, least: int = 30, covered_percent: int = 80, top: int = 2000, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -168,7 +170,8 @@ def collocations(documents: DataFrame, *, max_words: int = 4, least: int = 30, c
     work = Workspace(documents.sparkSession, "phrases")
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     ngrams = explode_ngrams(docs, screen_of(docs, least, part_bytes), max_words, part_bytes)
-    counts = ngrams.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    counts = ngrams.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    counts = counts.withColumn("words", (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).cast("long"))
     counts = work.save(counts.where((F.col("words") == 1) | (F.col("f") >= least)), "counts")
     often = counts.where(F.col("f") >= least)
     candidates = often.where("words > 1")
