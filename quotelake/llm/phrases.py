@@ -121,7 +121,7 @@ def screen_of(documents: DataFrame, least: int, part_bytes: int = PART_BYTES) ->
 
 
 def explode_ngrams(documents: DataFrame, screen: np.ndarray, max_words: int, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(lang, phrase, f): the n-grams of one to `max_words` words in (lang, text) rows, f of them in one row: all of
+    """(key, f): lang, a line end and the n-grams of one to `max_words` words in (lang, text) rows, f of them in one row: all of
     one word, and every longer one all of whose neighbouring pairs are in the screen.
 
     An n-gram comes no more often than any pair of neighbours in it, so none that reaches the screen's least count is
@@ -138,19 +138,19 @@ def explode_ngrams(documents: DataFrame, screen: np.ndarray, max_words: int, par
             known = (bits[(pairs & np.uint64((1 << SCREEN_BITS) - 1)) >> np.uint64(6)] >> (pairs & np.uint64(63))) & np.uint64(1) == 1
             grows = np.append(known, False)[: len(words)] & (left >= 2)
             fits = np.ones(len(words), bool)
+            prefix = f"{lang}\n".encode()
             for n in range(1, max_words + 1):
                 if n > 1:  # word n of a run belongs to it if the pair that it ends does
                     fits[: len(words) - n + 2] &= grows[n - 2 :]
                     fits[len(words) - n + 2 :] = False
                 starts = np.flatnonzero(fits & (shortest <= n)).tolist()
                 found = Counter([words[a] for a in starts] if n == 1 else [b" ".join(words[a : a + n]) for a in starts])
-                phrases, f = list(found), list(found.values())
+                keys, f = [prefix + p for p in found], list(found.values())
                 for a in range(0, len(found), 50_000):
-                    k = len(phrases[a : a + 50_000])
-                    columns = [pa.array([lang] * k), pa.array(phrases[a : a + 50_000], pa.binary()).cast(pa.string()), pa.array(f[a : a + 50_000], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+                    columns = [pa.array(keys[a : a + 50_000], pa.binary()).cast(pa.string()), pa.array(f[a : a + 50_000], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "f"])
 
-    return documents.mapInArrow(run, "lang string, phrase string, f long")
+    return documents.mapInArrow(run, "key string, f long")
 
 
 def collocations(documents: DataFrame, *, max_words: int = 4, least: int = 30, covered_percent: int = 80, top: int = 2000, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -170,7 +170,8 @@ def collocations(documents: DataFrame, *, max_words: int = 4, least: int = 30, c
     work = Workspace(documents.sparkSession, "phrases")
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     ngrams = explode_ngrams(docs, screen_of(docs, least, part_bytes), max_words, part_bytes)
-    counts = ngrams.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    counts = ngrams.groupBy("key").agg(F.sum("f").alias("f")).withColumn("phrase", F.substring_index("key", "\n", -1))
+    counts = counts.select(F.expr("substring(key, 1, length(key) - length(phrase) - 1)").alias("lang"), "phrase", "f")
     counts = counts.withColumn("words", (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).cast("long"))
     counts = work.save(counts.where((F.col("words") == 1) | (F.col("f") >= least)), "counts")
     often = counts.where(F.col("f") >= least)
