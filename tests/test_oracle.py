@@ -36,7 +36,7 @@ def rows(frame: pd.DataFrame) -> list:
 
 
 #: Queries that SQL doesn't express; these files hold brute-force versions of their operators.
-OWN_TESTS = {"ordered_coverage": "test_text", "hashed_search": "test_search", "typed_search": "test_search", "close_words": "test_search", "live_reading": "test_live", "reading_positions": "test_live", "utterance_decisions": "test_engine"}
+OWN_TESTS = {"ordered_coverage": "test_text", "hashed_search": "test_search", "typed_search": "test_search", "close_words": "test_search", "live_reading": "test_live", "reading_positions": "test_live", "utterance_decisions": "test_engine", "live_utterances": "test_timed"}
 
 
 def test_every_query_has_sql_or_a_test():
