@@ -70,3 +70,27 @@ def counts(passages: DataFrame) -> DataFrame:
 def words(passages: DataFrame) -> DataFrame:
     """chapter and word, once for each word of a chapter."""
     return passages.select("chapter", F.explode(F.split(fragment(F.col("text")), " ")).alias("word")).where("word <> ''").distinct()
+
+
+def chapter_rows(passages: DataFrame) -> DataFrame:
+    """book, chapter, first, n: where the verses of each chapter stand if all (book, chapter, verse) are numbered from 0 in
+    their order. Each book is summed first, so that only books, then the chapters of one book, come together."""
+    chapters = passages.select("book", "chapter", "verse").distinct().groupBy("book", "chapter").agg(F.count("*").alias("n"))
+    books = chapters.groupBy("book").agg(F.sum("n").alias("size"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    books = books.select("book", before(Window.orderBy("book"), "size").alias("start"))
+    return chapters.join(books, "book").select("book", "chapter", (F.col("start") + before(Window.partitionBy("book").orderBy("chapter"), "n")).alias("first"), "n")
+
+
+def numbered_rows(passages: DataFrame, rows: DataFrame) -> DataFrame:
+    """book, chapter, verse, row: the number of each verse in that order, by its place in its chapter (`rows` is the map)."""
+    place = F.row_number().over(Window.partitionBy("book", "chapter").orderBy("verse")) - 1
+    verses = passages.select("book", "chapter", "verse").distinct().withColumn("place", place)
+    return verses.join(rows.select("book", "chapter", "first"), ["book", "chapter"]).select("book", "chapter", "verse", (F.col("first") + F.col("place")).alias("row"))
+
+
+def sliced(values: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """What `values` (row, ...) have in the chapters that are asked for (book, chapter): only the rows of their slices."""
+    wanted = rows.join(asked.select("book", "chapter").distinct(), ["book", "chapter"])
+    numbers = wanted.select("book", "chapter", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("row"))
+    return values.join(numbers, "row")

@@ -108,7 +108,17 @@ def _stored_vectors(s, d):
     return N.stored(texts, None, "all", "vowels", root).select("id", *(F.get("v", F.lit(i)).cast("long").alias(c) for i, c in enumerate("aei")))
 
 
+def _slices(s, d):
+    """The chapters of rated documents, by the row map alone."""
+    p = _passages(s, d).where("book is not null")
+    rows = P.chapter_rows(p)
+    asked = table(s, d, "labels").join(rows.select("book", "chapter"), F.col("doc_id") == F.col("chapter")).select("book", "chapter")
+    return P.sliced(P.numbered_rows(p, rows).select("row", "verse"), rows, asked).select("book", "chapter", "verse", "row")
+
+
 QUERIES = {
+    "chapter_rows": lambda s, d: P.chapter_rows(_passages(s, d).where("book is not null")),
+    "chapter_slices": _slices,
     "stored_vectors": _stored_vectors,
     "hashed_search": lambda s, d: V.hashed_search(_items(s, d), _numbered(s, d), 5, 0.45).withColumnRenamed("id", "passage_id"),
     "typed_search": lambda s, d: T.search(_typed(s, d), _passages(s, d), "fr").select("query_id", "rank", "chapter", "verse", "verse_end", "score", "method"),
@@ -140,6 +150,10 @@ TIERS = "l AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'erro
 CONTAINED = RETRIEVAL["contained_items"]
 
 ORACLE_SQL = {
+    "chapter_rows": f"""WITH {PASSAGES}, c AS (SELECT book, chapter, count(DISTINCT verse) AS n FROM p WHERE book IS NOT NULL GROUP BY book, chapter)
+SELECT book, chapter, CAST(sum(n) OVER (ORDER BY book, chapter) - n AS BIGINT) AS first, n FROM c""",
+    "chapter_slices": f"""WITH {PASSAGES}, v AS (SELECT DISTINCT book, chapter, verse FROM p WHERE book IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY book, chapter, verse) - 1 AS row FROM v)
+SELECT * FROM r WHERE chapter IN (SELECT doc_id FROM labels)""",
     "stored_vectors": "SELECT conv_id * 1000 + turn AS id, " + ", ".join(f"length(text) - length(replace(lower(text), '{c}', '')) AS {c}" for c in "aei") + " FROM conversations",
     "verse_of_chapter": f"""WITH {PASSAGES}, q AS (SELECT chapter AS quote_id, book, chapter, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 2, 8), ' ') AS t FROM p WHERE verse = 2 AND chapter IN (SELECT doc_id FROM labels)),
 r AS (SELECT quote_id, book, chapter, {WORDS.format('t')} AS w, {confirming('t')} AS s FROM q), v AS (SELECT book, chapter, verse, {WORDS.format('text')} AS w, {confirming('text')} AS s FROM p),
