@@ -47,7 +47,7 @@ def corpus(seed, n, langs):
     return [(i, rng.choice(["web", None, "é"]), rng.choice(langs), rng.choice([None, 5, 9, 2**63 - 1]), rng.choice(["", None, "text é 𝒳", f"words {i}"]), "x", "y") for i in ids]
 
 
-@pytest.mark.parametrize("seed,n,langs,block,window,partitions", [(1, 300, ["en"] * 6 + ["de", None, "", "é", "𝒳", "~"], 2, 1, 7), (2, 257, ["en"], 3, 2, 5), (3, 256, ["en", "de"], 4, 1, 3), (4, 40, [f"l{i}" for i in range(60)], 1, 2, 9), (5, 1, ["en"], 2, 2, 4), (6, 500, ["en", "en", "fr"], 10, 10, 4)])
+@pytest.mark.parametrize("seed,n,langs,block,window,partitions", [(1, 300, ["en"] * 6 + ["de", None, "", "é", "𝒳", "~"], 2, 1, 7), (2, 257, ["en"], 3, 2, 5), (4, 40, [f"l{i}" for i in range(60)], 1, 2, 9), (5, 1, ["en"], 2, 2, 4)])
 def test_against_whole_trees(spark, seed, n, langs, block, window, partitions):
     rows = corpus(seed, n, langs)
     rows += [(None, "s", langs[0], 3, "no id", "x", "y"), (None, None, langs[-1], None, None, "x", "y"), *rows[: n // 5], *([rows[0]] * 40 if n > 100 else [])]
