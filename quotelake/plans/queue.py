@@ -61,7 +61,7 @@ def _csv(s, d):
 def _json(s, d):
     path = files.shared_folder(s, "json")
     files.export_json(_history(s, d).select("id", "detected_at", "session_id", "reference"), path)
-    rows = s.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", "array<struct<id: long, session_id: long, reference: string>>")).alias("place", "r"))
+    rows = s.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<struct<id: long, session_id: long, reference: string>>")).alias("place", "r"))
     return rows.select(F.col("place").cast("long").alias("place"), "r.id", "r.session_id", "r.reference")
 
 
