@@ -54,6 +54,20 @@ def test_hashed_search_against_brute_force(spark):
     assert {(r.query_id, r.id, r.score) for r in got} == want and want
 
 
+def test_hashed_search_in_blocks_shuffles_texts_only(spark, monkeypatch):
+    rows, rng, _ = corpus(6, 120)
+    texts, asked = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(rng.sample(rows, 30), "id long, text string")
+    whole = vectors.hashed_search(asked, texts, 4, 0.3)
+    want = sorted(map(tuple, whole.collect()))
+    for name, n in (("BLOCK_TEXTS", 17), ("BLOCK_ITEMS", 7), ("TEXTS_AT_ONCE", 5), ("AT_ONCE", 3)):
+        monkeypatch.setattr(vectors, name, n)
+    cut = vectors.hashed_search(asked, texts, 4, 0.3)
+    assert sorted(map(tuple, cut.collect())) == want and want
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    # neither features nor vectors of passages are rows of a shuffle
+    assert "dim" not in plan and "array<double>" not in plan
+
+
 def test_top_k_in_blocks_against_sorting(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
     monkeypatch.setattr(vectors, "BLOCK_QUERIES", 3)
