@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import batched, groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,14 +85,82 @@ def quotations(items: DataFrame, documents: DataFrame, n: int = 5, least: float
 
 def similar_words(words: DataFrame, vocabulary: DataFrame, least: float, best: int) -> DataFrame:
     """Vocabulary words for words that it lacks: the same first three letters and an edit similarity of at least `least`,
-    the best few."""
-    unknown = words.where(F.length("word") >= 4).join(vocabulary, "word", "left_anti").select("word", F.substring("word", 1, 3).alias("prefix"))
-    known = vocabulary.select(F.col("word").alias("match"), F.substring("word", 1, 3).alias("prefix"))
-    longest = F.greatest(F.length("word"), F.length("match"))
-    score = F.round(1 - F.levenshtein("word", "match") / longest, 6)
-    pairs = unknown.join(known, "prefix").withColumn("score", score).where(F.col("score") >= least)
+    the best few. The vocabulary is dealt by beginning and length, and each word goes where its length allows the
+    similarity, so most pairs never meet; those that do are compared by columns of letters."""
+    share = 1 - least + 1e-6
+    size = F.length("word").cast("long")
+    unknown = words.where(size >= 4).join(vocabulary, "word", "left_anti").withColumn("prefix", F.substring("word", 1, 3))
+    known = vocabulary.where(size >= 3).select(F.substring("word", 1, 3).alias("prefix"), size.alias("length"), "word")
+    lengths = known.select("prefix", "length").distinct()
+    asked = unknown.join(lengths, "prefix").where(F.abs(size - F.col("length")) <= F.greatest(size, "length") * share).select("prefix", "length", "word")
+
+    def compared(a: pa.Table, b: pa.Table) -> pa.Table:
+        sides: list[dict] = [{}, {}]
+        for side, t in zip(sides, (a, b), strict=True):
+            for prefix, length, word in zip(*(t.column(c).to_pylist() for c in ("prefix", "length", "word")), strict=True):
+                side.setdefault((prefix, length), []).append(word)
+        out: list[tuple] = []
+        for key in sides[0].keys() & sides[1].keys():
+            theirs = sides[1][key]
+            # the first three letters are equal
+            rest = np.stack([_codes(w[3:]) for w in theirs]).T
+            step = max(1, PAIRS // len(theirs))
+            for n, own in groupby(sorted(sides[0][key], key=len), len):
+                longest = max(n, len(theirs[0]))
+                for some in batched(own, step):
+                    left = np.stack([_codes(w[3:]) for w in some]).T
+                    i, j = np.repeat(np.arange(len(some)), len(theirs)), np.tile(np.arange(len(theirs)), len(some))
+                    at, edits = close(left[:, i], rest[:, j], int(longest * share))
+                    out += [(some[i[p]], theirs[j[p]], int(e), longest) for p, e in zip(at, edits, strict=True)]
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("word", "match", "edits", "longest"), columns, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)})
+
+    # few bytes and much work: several groups for each of as many tasks as are set, of many beginnings each
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("prefix", "length"), F.lit(4 * tasks)).cast("int")
+    dealt = lambda df: df.withColumn("bucket", bucket).repartition(tasks, "bucket").groupBy("bucket")
+    # one side is made of the other: columns of their own
+    known = known.select(*(F.col(c).alias(c) for c in known.columns))
+    pairs = dealt(asked).cogroup(dealt(known)).applyInArrow(compared, "word string, match string, edits int, longest int")
+    rows = pairs.withColumn("score", F.round(1 - F.col("edits") / F.col("longest"), 6)).where(F.col("score") >= least)
     order = Window.partitionBy("word").orderBy(F.desc("score"), "match")
-    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= best).select("word", "match", "score", "rank")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= best).select("word", "match", "score", "rank")
+
+
+def _codes(word: str) -> np.ndarray:
+    return np.frombuffer(word.encode("utf-16-le" if max(word, default="") <= "\uffff" else "utf-32-le"), np.uint16 if max(word, default="") <= "\uffff" else np.uint32)
+
+
+#: Pairs of words whose tables are filled at once.
+PAIRS = 1 << 15
+
+
+def close(words: np.ndarray, others: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of words are at most `most` edits apart, and how many: a column each of both arrays, all of one length on
+    a side. The tables of edit distances are filled for all pairs at once, where they are within `most` of the diagonal;
+    pairs that can't come back under it go on the way."""
+    size, n = others.shape
+    at, small = np.arange(n), np.int16 if max(size, len(words)) < 30_000 else np.int32
+    row = {i: np.full(n, i, small) for i in range(min(size, most) + 1)}
+    for j in range(1, len(words) + 1):
+        last, row = row, {}
+        for i in range(max(0, j - most), min(size, j + most) + 1):
+            if i == 0:
+                row[0] = np.full(len(at), j, small)
+                continue
+            x = last[i - 1] + (others[i - 1] != words[j - 1])
+            if i in last:
+                x = np.minimum(x, last[i] + 1)
+            row[i] = np.minimum(x, row[i - 1] + 1) if i - 1 in row else x
+        there = np.minimum.reduce(list(row.values())) <= most if row else np.zeros(len(at), bool)
+        if 2 * there.sum() < len(at):
+            at, words, others, row = at[there], words[:, there], others[:, there], {i: x[there] for i, x in row.items()}
+        if not len(at):
+            break
+    if size not in row:
+        return at[:0], at[:0]
+    there = row[size] <= most
+    return at[there], row[size][there]
 
 
 def with_unknown(weighted: DataFrame, n_documents: DataFrame, words: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from quotelake.functions import words as W
-from quotelake.operators import typed, vectors
+from quotelake.operators import retrieval, typed, vectors
 
 PASSAGE = "version string, book string, chapter long, verse long, text string"
 
@@ -68,6 +68,35 @@ def test_hashed_search_in_blocks_shuffles_texts_only(spark, monkeypatch):
     assert "dim" not in plan and "array<double>" not in plan
 
 
+def test_similar_words_compares_few_pairs(spark):
+    rng = random.Random(3)
+    word = lambda: "abc" + "".join(rng.choices("aeioulnrst", k=rng.randrange(0, 16)))
+    known, asked = {word() for _ in range(300)}, {word() for _ in range(150)}
+    for w in list(known)[:100]:
+        i = rng.randrange(3, len(w) + 1)
+        asked.add(w[:i] + rng.choice("xyz") + w[i + rng.randrange(2) :])
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for least in (0.72, 0.6, 0.2):
+        want = set()
+        for a in asked - known:
+            scored = sorted((-round(1 - edits(a, b) / max(len(a), len(b)), 6), b) for b in known) if len(a) >= 4 else []
+            want |= {(a, b, -s, n) for n, (s, b) in enumerate((x for x in scored if -x[0] >= least), 1) if n <= 4}
+        frame = lambda ws: spark.createDataFrame([(w,) for w in sorted(ws)], "word string")
+        found = retrieval.similar_words(frame(asked), frame(known), least, 4)
+        assert {tuple(r) for r in found.collect()} == want and want
+    # no row is made for a pair of words that are not similar
+    plan = retrieval.similar_words(frame(asked), frame(known), 0.72, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan
+
+
 def test_top_k_in_blocks_against_sorting(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
     monkeypatch.setattr(vectors, "BLOCK_QUERIES", 3)
