@@ -213,3 +213,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], PASSAGE)
     queries = spark.createDataFrame([(1, "some words")], "query_id long, text string")
     assert typed.search(queries, none, "x").collect() == [] and typed.search(queries.limit(0), none, "x").collect() == []
+
+
+def test_typed_search_reads_passages_once(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [("x", "a", 1, n, f"word{n} and some more words of verse {n % 7}") for n in range(60)]
+    passages = spark.createDataFrame(rows, "version string, book string, chapter long, verse long, text string").withColumn("text", counted("text"))
+    queries = spark.createDataFrame([(1, "more words of verse"), (2, "word12"), (3, "sime more wordz of verse 3")], "query_id long, text string")
+    assert {r.query_id for r in typed.search(queries, passages, "x").collect()} == {1, 2, 3}
+    assert read.value == len(rows)
