@@ -64,7 +64,7 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t long, id long, row string")
+        self.waiting = handle.getListState("waiting", "rows string")
         self.memory = handle.getValueState("memory", "memory string")
 
     def _frame(self, out: Rows, late: list[dict]) -> pd.DataFrame:
@@ -84,7 +84,8 @@ class Ordered(StatefulProcessor):
                 else:
                     held.append((int(t), int(i), payload))
             if held:
-                self.waiting.appendList(held)
+                # one entry for all of them: each costs a way to the state and back
+                self.waiting.appendValue((json.dumps(held),))
                 first = min(x[0] for x in held) if first is None else min(first, *(x[0] for x in held))
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
@@ -93,23 +94,25 @@ class Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else {}
+        waiting = [tuple(x) for (rows,) in self.waiting.get() for x in json.loads(rows)]
+        known = self.memory.get()
+        memory = json.loads(known[0]) if known else {}
         out: Rows = []
-        ready = sorted((tuple(x) for x in waiting if x[0] < passed), key=lambda x: x[:2])
+        ready = sorted((x for x in waiting if x[0] < passed), key=lambda x: x[:2])
         for *_, payload in ready:
             memory, more = self.machine.take(memory, json.loads(payload))
             out += more
         memory, more = self.machine.until(memory, passed)
         out += more
-        rest = [tuple(x) for x in waiting if x[0] >= passed]
+        rest = [x for x in waiting if x[0] >= passed]
         if rest:
-            self.waiting.put(rest)
+            if ready:
+                self.waiting.put([(json.dumps(rest),)])
         elif waiting:
             self.waiting.clear()
         if memory:
             self.memory.update((json.dumps(memory),))
-        elif self.memory.exists():
+        elif known:
             self.memory.clear()
         times = [x[0] for x in rest] + [at for at in [self.machine.due(memory) if memory else None] if at is not None]
         if times:

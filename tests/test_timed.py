@@ -149,3 +149,23 @@ def test_queue_keeps_the_newest_of_all(spark, tmp_path, most):
     with T.stored_in(spark):
         kept = L.replay(T.queued(stream, most=most), f"{tmp_path}/out")
     assert sorted(r.seq for r in kept.collect()) == [1, 2, 3, 6]
+
+
+def test_waiting_rows_of_a_trigger_are_one_entry_of_the_state():
+    import json
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from quotelake.streaming import timed
+
+    class State(list):
+        appendList, appendValue, get = list.extend, list.append, list.copy
+
+    handle = SimpleNamespace(getListState=lambda *_: State(), getValueState=lambda *_: None, registerTimer=lambda _: None)
+    processor = timed.Ordered(timed.utterances())
+    processor.init(handle)
+    frames = [pd.DataFrame({"t": [5_000, 3_000], "id": [1, 2], "row": ["{}", "{}"]}), pd.DataFrame({"t": [9_000], "id": [3], "row": ["{}"]})]
+    assert list(processor.handleInputRows(None, iter(frames), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))) == []
+    # one for each frame that the rows came in
+    assert [len(json.loads(x[0])) for x in processor.waiting] == [2, 1]
