@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quotelake.operators import evaluation as E
 from quotelake.operators import fusion as U
 from quotelake.operators import retrieval as R
+from quotelake.operators.engine import Tables
 from quotelake.plans.retrieval import hits_sql
 from quotelake.plans.tables import table
+from quotelake.sources.files import shared_folder
 
 
 def fused(s, d):
@@ -17,8 +19,10 @@ def fused(s, d):
 
 
 def decided(s, d):
-    """The best candidate of each item with the rule that accepts it and its confidence; overlaps are of single words."""
-    best = U.best_of(R.word_overlap(fused(s, d), table(s, d, "benchmark"), table(s, d, "documents")))
+    """The best candidate of each item with the rule that accepts it and its confidence; overlaps are of single words. The
+    candidates, a few of each item, are kept: they choose the documents and meet them, and are found once for both."""
+    found = Tables(shared_folder(s, "fusion")).save(fused(s, d), "candidates")
+    best = U.best_of(R.word_overlap(found, table(s, d, "benchmark"), table(s, d, "documents")))
     args = [F.col(c) for c in ("sem", "lex", "agreement", "overlap", "stems")]
     return best.select("item_id", "doc_id", "rrf", U.decision(*args, threshold=0.8385, least=0.34).alias("rule"), U.confidence(*args).alias("confidence"))
 

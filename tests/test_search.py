@@ -230,3 +230,28 @@ def test_typed_search_reads_passages_once(spark):
     queries = spark.createDataFrame([(1, "more words of verse"), (2, "word12"), (3, "sime more wordz of verse 3")], "query_id long, text string")
     assert {r.query_id for r in typed.search(queries, passages, "x").collect()} == {1, 2, 3}
     assert read.value == len(rows)
+
+
+def test_gram_hits_count_each_row_once_however_often_its_words_repeat(spark):
+    documents = [(1, "a b c a b c a b"), (1, "a b c"), (2, "a b"), (3, "b"), (4, None), (5, ""), (None, "É b c x"), (6, "b a")]
+    items = [(7, "A b C a b"), (8, "e b"), (8, "e b"), (9, None), (10, "c")]
+    words = lambda t: [w for w in (t or "").lower().replace("é", "e").split() if w]
+    grams = lambda t, n: {tuple(words(t)[i : i + n]) for i in range(len(words(t)) - n + 1)}
+    want = Counter()
+    for i, a in items:
+        for d, b in documents:
+            for n in (2, 3):
+                if shared := len(grams(a, n) & grams(b, n)):
+                    want[i, d, n, len(grams(a, n))] += shared
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string").repartition(3)
+    got = retrieval.gram_hits_of(frame(items, "item_id"), frame(documents, "doc_id"), (2, 3)).collect()
+    assert {(r.item_id, r.doc_id, r.n, r.hits, r.coverage) for r in got} == {(i, d, n, c, round(c / size, 6)) for (i, d, n, size), c in want.items()}
+    assert len(got) == len(want) > 4
+
+
+def test_candidates_of_a_decision_are_found_once(spark):
+    """n-grams of all documents are made for the candidates only; what goes on from these makes none."""
+    from quotelake import registry
+
+    plan = registry.QUERIES["fusion_decision"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
