@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A table is folded into one set of files when it has more than so many sets of changes.
 MOST_CHANGES = 32
 ATTEMPTS = 20
+#: Rows of about so many bytes of files go to one task; more bytes mean more tasks.
+PART_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ class Snapshot:
         paths = [f"{self.store.root}/changes/{c}/{name}" for c in self.changes.get(name, [])]
         if not paths:
             return spark.createDataFrame([], table.stored if gone else table.schema)
-        rows = spark.read.schema(table.stored).parquet(*paths)
+        rows = self.store.dealt(spark.read.schema(table.stored).parquet(*paths), table.key, paths)
         rest = [c for c in rows.columns if c not in table.key and c != "_version"]
         newest = rows.groupBy(*table.key).agg(F.max(F.struct("_version", *rest)).alias("r")).select(*table.key, "r.*")
         newest = newest.select(*rows.columns)
@@ -65,6 +67,13 @@ class Store:
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def dealt(self, rows: DataFrame, key: tuple[str, ...], paths: list[str]) -> DataFrame:
+        """The rows of these files by their key, in parts of about PART_BYTES where the set number of partitions would make
+        larger ones: what one task reads doesn't grow with a table."""
+        size = sum(self.files.getContentSummary(self.jvm.org.apache.hadoop.fs.Path(p)).getLength() for p in paths)
+        parts = -(-size // PART_BYTES)
+        return rows.repartition(parts, *key) if parts > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
     def versions(self) -> list[int]:
         found = (s.getPath().getName() for s in self.files.listStatus(self._path("versions")))
         return sorted(int(n[1:-5]) for n in found if n.startswith("v") and n.endswith(".json"))
@@ -204,14 +213,23 @@ def put(store: Store, settings: DataFrame) -> int:
 
 
 def install(store: Store, passages: DataFrame) -> int:
-    """Replaces the versions that `passages` has, and their counts with them in the same commit; other versions stay."""
-    key = list(TABLES["passages"].key)
+    """Replaces the versions that `passages` has, and their counts with them in the same commit; other versions stay.
+    The passages are written aside once, so that they are made once and their size is known."""
+    key = TABLES["passages"].key
+    aside = f"{store.root}/aside/{uuid.uuid4().hex}"
 
     def change(now: Snapshot) -> dict[str, DataFrame]:
-        given = passages.dropna(subset=key).groupBy(*key).agg(F.max("text").alias("text"))
-        versions = given.select("version").distinct()
-        old = now.read("passages").join(versions, "version", "left_semi").join(given, key, "left_anti").withColumn("_gone", F.lit(True))
-        counts = given.groupBy("version").agg(F.countDistinct("book").alias("books"), F.countDistinct("book", "chapter").alias("chapters"), F.count("*").alias("verses"))
+        rows = store.spark.read.schema(TABLES["passages"].schema).parquet(aside)
+        given = store.dealt(rows, key, [aside]).groupBy(*key).agg(F.max("text").alias("text"))
+        versions = rows.select("version").distinct()
+        old = now.read("passages").join(F.broadcast(versions), "version", "left_semi").join(rows.select(*key), list(key), "left_anti").withColumn("_gone", F.lit(True))
+        known = rows.select(*key).distinct()
+        counts = known.groupBy("version").agg(F.countDistinct("book").alias("books"), F.countDistinct("book", "chapter").alias("chapters"), F.count("*").alias("verses"))
         return {"passages": given.withColumn("_gone", F.lit(False)).unionByName(old), "counts": counts}
 
-    return store.commit(change)
+    wanted = store.spark.createDataFrame([], TABLES["passages"].schema).schema
+    try:
+        passages.dropna(subset=list(key)).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted)).write.parquet(aside)
+        return store.commit(change)
+    finally:
+        store.files.delete(store._path(aside.removeprefix(f"{store.root}/")), True)

@@ -96,3 +96,18 @@ def test_many_changes_fold_by_themselves(spark, store, monkeypatch):
         S.put(store, spark.createDataFrame(list(part.items()), "key string, value string"))
         assert {r.key: r.value for r in store.read("settings").collect()} == {k: v for k, v in want.items() if v is not None}
         assert len(store.snapshot().changes.get("settings", [])) <= 3
+
+
+def test_a_task_reads_no_more_of_a_larger_table(spark, store, monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 1 << 11, raising=False)
+    key = ["version", "book", "chapter", "verse"]
+    rows = spark.range(3_000).selectExpr("if(id % 3 = 0, 'a', 'b') version", "'x' book", "id div 50 chapter", "id verse", "sha2(cast(id as string), 256) text")
+    S.install(store, rows.unionByName(rows.withColumn("text", F.lit("0"))))
+    S.install(store, rows.where("version = 'a' and verse < 900").withColumn("text", F.lit("new")))
+    now = store.read("passages")
+    want = rows.where("version = 'b'").unionByName(rows.where("version = 'a' and verse < 900").withColumn("text", F.lit("new")))
+    assert sorted(map(tuple, now.collect())) == sorted(map(tuple, want.select(*key, "text").collect()))
+    assert {r.version: r.verses for r in store.read("counts").collect()} == {"a": 300, "b": 2_000}
+    parts = now.groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count")).first()
+    assert parts[0] > 16 and parts[1] < 2_300 / 8
+    assert not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store.root).where("path like '%/aside/%'").count()
