@@ -37,13 +37,17 @@ class Snapshot:
     def __init__(self, store: Store, version: int, changes: dict[str, list[str]]):
         self.store, self.version, self.changes = store, version, changes
 
-    def read(self, name: str, *, gone: bool = False) -> DataFrame:
-        """The rows of a table: of each key the newest change, unless it says that the row is gone."""
+    def read(self, name: str, *, gone: bool = False, among: DataFrame | None = None) -> DataFrame:
+        """The rows of a table: of each key the newest change, unless it says that the row is gone. `among`: only rows that
+        have these few values of key columns; others are left before rows are dealt."""
         table, spark = self.store.tables[name], self.store.spark
         paths = [f"{self.store.root}/changes/{c}/{name}" for c in self.changes.get(name, [])]
         if not paths:
             return spark.createDataFrame([], table.stored if gone else table.schema)
-        rows = self.store.dealt(spark.read.schema(table.stored).parquet(*paths), table.key, paths)
+        rows = spark.read.schema(table.stored).parquet(*paths)
+        if among is not None:
+            rows = rows.join(F.broadcast(among), among.columns, "left_semi").select(*rows.columns)
+        rows = self.store.dealt(rows, table.key, paths)
         rest = [c for c in rows.columns if c not in table.key and c != "_version"]
         newest = rows.groupBy(*table.key).agg(F.max(F.struct("_version", *rest)).alias("r")).select(*table.key, "r.*")
         newest = newest.select(*rows.columns)
@@ -222,7 +226,7 @@ def install(store: Store, passages: DataFrame) -> int:
         rows = store.spark.read.schema(TABLES["passages"].schema).parquet(aside)
         given = store.dealt(rows, key, [aside]).groupBy(*key).agg(F.max("text").alias("text"))
         versions = rows.select("version").distinct()
-        old = now.read("passages").join(F.broadcast(versions), "version", "left_semi").join(rows.select(*key), list(key), "left_anti").withColumn("_gone", F.lit(True))
+        old = now.read("passages", among=versions).join(rows.select(*key), list(key), "left_anti").withColumn("_gone", F.lit(True))
         known = rows.select(*key).distinct()
         counts = known.groupBy("version").agg(F.countDistinct("book").alias("books"), F.countDistinct("book", "chapter").alias("chapters"), F.count("*").alias("verses"))
         return {"passages": given.withColumn("_gone", F.lit(False)).unionByName(old), "counts": counts}
