@@ -54,3 +54,41 @@ def test_most_stems_against_overlaps_of_texts(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "BLOCK_ITEMS", n)
         got = retrieval.most_stems(own, stems).select("item_id", "doc_id", F.when(F.size("stems") > 0, F.col("shared") / F.size("stems")).otherwise(0.0))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stems_leave_marks_out_of_whole_texts_as_of_words(spark):
+    from quotelake.functions import words as W
+
+    rows = ["«Grâce», l'abîme-profond…  lumière éternelle!!! (œuvre)", " - ' ", "", "a grand°e lum!ière mońtagne 12345x² ١٢٣٤", "Paul Pauline dans lumière lumières", "!!! ab-cdef !!!"]
+    word = lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")
+    parted = F.split(F.trim(F.regexp_replace(F.regexp_replace(X.fold(F.col("text")), "['-]", " "), r"(?U)\s+", " ")), " ")
+    kept = F.filter(F.transform(parted, word), lambda w: (F.length(w) >= 4) & ~w.isin(*sorted(W.STEM_STOP)))
+    one_by_one = F.array_distinct(F.filter(F.transform(kept, lambda w: F.substring(w, 1, 5)), lambda w: ~w.isin(*sorted(W.WEAK_STEMS))))
+    df = spark.createDataFrame([(r,) for r in rows], "text string")
+    found = df.select(X.content_stems(F.col("text")).alias("got"), one_by_one.alias("want"))
+    assert all(r.got == r.want for r in found.collect())
+    # one pattern for a text, none for each of its words
+    assert found.select("got")._jdf.queryExecution().optimizedPlan().toString().count("lambda") < found.select("want")._jdf.queryExecution().optimizedPlan().toString().count("lambda")
+
+
+def test_hashed_vectors_are_those_of_features_added_one_by_one(monkeypatch):
+    import re
+    import zlib
+
+    from quotelake.functions.books import plain
+    from quotelake.operators import encoders
+
+    monkeypatch.setattr(encoders.Hashed, "MEMO_WORDS", 5)
+    rng = random.Random(8)
+    said = [*texts(rng, 40, 60), "", "Grace and peace", "Été ÉTÉ"]
+    want = np.zeros((len(said), 64), np.float32)
+    for row, text in zip(want, said, strict=True):
+        for word in re.findall(r"\w+", plain(text)):
+            padded = f"^{word}$"
+            for feature, weight in ((word, 1.0), *((padded[i : i + 3], 0.3) for i in range(len(padded) - 2))):
+                h = zlib.crc32(feature.encode())
+                row[h % 64] += weight if h >> 16 & 1 else -weight
+    encoder = encoders.Hashed(64)
+    got = encoder.embed(said)
+    assert np.array_equal(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12))
+    assert 0 < len(encoder.memo) <= 5
