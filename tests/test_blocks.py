@@ -52,7 +52,7 @@ def test_most_stems_against_overlaps_of_texts(spark, monkeypatch):
     own, stems = pairs.withColumn("stems", X.content_stems(F.col("text"))), documents.select("doc_id", F.transform("texts", X.content_stems).alias("stems"))
     for n in (1 << 16, 11):
         monkeypatch.setattr(retrieval, "BLOCK_ITEMS", n)
-        got = retrieval.most_stems(own, stems).select("item_id", "doc_id", F.when(F.size("stems") > 0, F.col("shared") / F.size("stems")).otherwise(0.0))
+        got = retrieval.most_stems(own, stems).select("item_id", "doc_id", F.when(F.col("stems") > 0, F.col("shared") / F.col("stems")).otherwise(0.0))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
